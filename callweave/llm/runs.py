@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+SUMMARY = pa.schema([("entity", pa.string()), ("state", pa.string()), *((k, pa.int64()) for k in ("first_us", "last_us", "events", "first_row_id"))])
 RUN_SCHEMA = "entity string, state string, first_us bigint, last_us bigint, events bigint, first_row_id bigint, piece bigint"
 
 
@@ -58,7 +59,8 @@ def _chunk(most_gap: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = pa.Table.from_batches([batch])
+            us, row = batch.column(2), batch.column(3)
+            part = pa.Table.from_arrays([batch.column(0), batch.column(1), us, us, pa.array(np.ones(batch.num_rows, np.int64)), row], schema=SUMMARY)
             if held is not None:
                 part = pa.concat_tables([held, part])
             # the last event's run may go on in the next batch: keep its rows' summary as rows
@@ -110,7 +112,7 @@ def encode_chunk(entity: np.ndarray, state: np.ndarray, part: pa.Table, most_gap
 
 def summary_rows(runs: dict[str, np.ndarray], at: int, names: list, states: list) -> pa.Table:
     """The run at an index as a table of one summary."""
-    return pa.table({"entity": pa.array([names[runs["entity"][at]]], pa.string()), "state": pa.array([states[runs["state"][at]]], pa.string()), **{k: pa.array([int(runs[k][at])], pa.int64()) for k in ("first_us", "last_us", "events", "first_row_id")}}).select(["entity", "state", "first_us", "last_us", "events", "first_row_id"])
+    return pa.table([[names[runs["entity"][at]]], [states[runs["state"][at]]], *([int(runs[k][at])] for k in ("first_us", "last_us", "events", "first_row_id"))], schema=SUMMARY)
 
 
 def collapse_runs(rows: DataFrame, *, entity: str, time: str, state: str, row_id: str, most_gap_s: float, least_events: int = 1, chunks: int | None = None) -> DataFrame:
@@ -121,7 +123,7 @@ def collapse_runs(rows: DataFrame, *, entity: str, time: str, state: str, row_id
     gap = round(most_gap_s * 1_000_000)
     t, s = F.col(time), F.regexp_replace(F.lower(F.col(state)), r"[^\p{L}\p{N}]+", "")
     clean = rows.filter(F.col(entity).isNotNull() & t.isNotNull() & ~F.isnan(t) & (F.abs(t) < 9e12) & (s != "")).select(
-        F.col(entity).alias("entity"), s.alias("state"), F.round(t * 1_000_000, 0).cast("bigint").alias("first_us"), F.round(t * 1_000_000, 0).cast("bigint").alias("last_us"), F.lit(1).cast("bigint").alias("events"), F.col(row_id).cast("bigint").alias("first_row_id")
+        F.col(entity).alias("entity"), s.alias("state"), F.round(t * 1_000_000, 0).cast("bigint").alias("first_us"), F.col(row_id).cast("bigint").alias("first_row_id")
     )
     by = ["entity", "first_us"]
     ordered = (clean.repartitionByRange(chunks, *by) if chunks else clean.repartitionByRange(*by)).sortWithinPartitions(*by, "state")

@@ -19,7 +19,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from callweave.session import cut
 
@@ -238,4 +237,3 @@ def units_for_review(segments: DataFrame, chunks: DataFrame, config: UnitConfig
     return infer_units(result_profiles(segments, extents), config).filter(~F.col("accepted")).select("result_id", "unit", "proposed", "confidence")
 
 
-REVIEW_SCHEMA = T.StructType.fromDDL("result_id bigint, unit string, proposed string, confidence double")

@@ -4,6 +4,9 @@ Method: community confusion model. Annotators belong to types; every type has a
 matrix has a Dirichlet prior centred on the matrices of its type, so annotators with few labels lean on their type.
 Item labels, annotator types and all matrices are inferred by variational updates.
 
+A vote is seen as its class together with its bin of stated confidence, so a matrix also learns what an annotator's
+doubt is worth; confidences on scales of 5, 10 or 100 are brought to 1 by the annotator's largest value.
+
 Distribution: votes become one row per item (an item has at most one vote per annotator), written once; a round is one
 pass over these rows that returns sums per (annotator, class, label). The annotators' matrices are sent to the tasks
 only up to MOST_BROADCAST annotators; beyond that they stay a table and are joined to the votes.
@@ -27,13 +30,18 @@ from callweave.session import cut
 
 CLASSES = ("ivr", "human", "hold", "survey", "unknown")
 K = len(CLASSES)
-#: Annotators whose matrices (K * K doubles each, 40 MB at most) may be sent to every task.
-MOST_BROADCAST = 200_000
+#: Borders of the bins of stated confidence on a scale of 0 to 1; the last bin is for votes without one.
+CONFIDENCE = (0.5, 0.6, 0.7, 0.8, 0.85, 0.9)
+BINS = len(CONFIDENCE) + 2
+#: What is seen of a vote: its class and its bin of confidence.
+V = K * BINS
+#: Annotators whose matrices (K * V doubles each, 64 MB at most) may be sent to every task.
+MOST_BROADCAST = 40_000
 
 
 @dataclass(frozen=True)
 class CommunityConfig:
-    communities: int = 4
+    communities: int = 6
     strength: float = 20.0
     diagonal: float = 4.0
     off: float = 0.5
@@ -63,33 +71,45 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return out + (x - 0.5) * np.log(x) - x + 0.9189385332046727 + (1 / 12 - y * (1 / 360 - y / 1260)) / x
 
 
+def by_class(seen: np.ndarray) -> np.ndarray:
+    """Sums over the bins of confidence: (..., K, V) to (..., K, K)."""
+    return seen.reshape(*seen.shape[:-1], K, BINS).sum(-1)
+
+
 def annotator_update(counts: np.ndarray, matrices: np.ndarray, weights: np.ndarray, strength: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For annotators with expected counts (n, K, K): expected log matrices, own mean matrices, type responsibilities (n, C)."""
+    """For annotators with expected counts (n, K, V): expected log matrices, own mean confusion matrices (n, K, K), type responsibilities (n, C)."""
     prior = strength * matrices
     fit = np.stack([(log_gamma(p.sum(1)) - log_gamma(p.sum(1) + counts.sum(2))).sum(1) + (log_gamma(p + counts) - log_gamma(p)).sum((1, 2)) for p in prior], 1) + np.log(np.maximum(weights, 1e-12))
     resp = np.exp(fit - fit.max(1, keepdims=True))
     resp /= resp.sum(1, keepdims=True)
     beta = np.einsum("nc,ckl->nkl", resp, prior) + counts
-    return digamma(beta) - digamma(beta.sum(2, keepdims=True)), beta / beta.sum(2, keepdims=True), resp
+    return digamma(beta) - digamma(beta.sum(2, keepdims=True)), by_class(beta / beta.sum(2, keepdims=True)), resp
 
 
 def community_update(counts: np.ndarray, resp: np.ndarray, config: CommunityConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Sums for the types' matrices (C, K, K) and weights (C); an annotator counts at most 10 * strength votes, so that the busiest don't speak for their type alone."""
+    """Sums for the types' matrices (C, K, V) and weights (C); an annotator counts at most 10 * strength votes, so that the busiest don't speak for their type alone."""
     total = counts.sum((1, 2), keepdims=True)
     capped = counts * np.minimum(1, 10 * config.strength * K / np.maximum(total, 1e-9))
     return np.einsum("nc,nkl->ckl", resp, capped), resp.sum(0)
 
 
 def community_means(sums: np.ndarray, config: CommunityConfig) -> np.ndarray:
-    m = sums + config.off + (config.diagonal - config.off) * np.eye(K)
+    m = sums + np.repeat(config.off + (config.diagonal - config.off) * np.eye(K), BINS, axis=1) / BINS
     return m / m.sum(2, keepdims=True)
 
 
 def latest_votes(votes: DataFrame) -> DataFrame:
-    """(item_id, labeler, vote): the number of the class of every annotator's last vote on an item; abstentions are left out."""
+    """(item_id, labeler, vote): class number * BINS + bin of confidence of every annotator's last vote on an item; NULL for abstentions."""
     number = F.array_position(F.array(*map(F.lit, CLASSES)), class_name(F.col("label"))) - 1
-    last = votes.filter("item_id IS NOT NULL AND labeler IS NOT NULL").groupBy("item_id", F.lower(F.trim("labeler")).alias("labeler")).agg(F.max_by(number, F.struct("voted_ts", "vote_id")).alias("vote"))
-    return last.select("item_id", "labeler", F.col("vote").cast("int").alias("vote"))
+    stated = F.col("confidence").cast("double") if "confidence" in votes.columns else F.lit(None).cast("double")
+    conf = F.when(~F.isnan(stated) & (stated >= 0), stated)
+    last = votes.filter("item_id IS NOT NULL AND labeler IS NOT NULL").groupBy("item_id", F.lower(F.trim("labeler")).alias("labeler")).agg(F.max_by(F.struct(number.alias("k"), conf.alias("c")), F.struct("voted_ts", "vote_id")).alias("v"))
+    last = last.select("item_id", "labeler", "v.k", "v.c")
+    top = F.max("c")
+    scale = last.groupBy("labeler").agg(F.when(top > 10, 100.0).when(top > 5, 10.0).when(top > 1, 5.0).otherwise(1.0).alias("scale"))
+    c = F.col("c") / F.col("scale")
+    bin_ = F.when(F.col("c").isNull(), len(CONFIDENCE) + 1).otherwise(sum((c >= x).cast("int") for x in CONFIDENCE))
+    return last.join(scale, "labeler").select("item_id", "labeler", (F.col("k") * BINS + bin_).cast("int").alias("vote"))
 
 
 def _posterior(flat_item: np.ndarray, scores: np.ndarray, n: int, prior: np.ndarray) -> np.ndarray:
@@ -125,7 +145,7 @@ def consensus(votes: DataFrame, config: CommunityConfig = CommunityConfig(), mos
 
 def _start(last: DataFrame) -> DataFrame:
     """(item_id, labeler, vote, q0..): vote shares of the item as first posterior."""
-    shares = last.groupBy("item_id").agg(*[(F.count_if(F.col("vote") == k) / F.greatest(F.count("vote"), F.lit(1))).alias(f"q{k}") for k in range(K)])
+    shares = last.groupBy("item_id").agg(*[(F.count_if(F.floor(F.col("vote") / BINS) == k) / F.greatest(F.count("vote"), F.lit(1))).alias(f"q{k}") for k in range(K)])
     return shares
 
 
@@ -136,7 +156,7 @@ def _stats(votes_q: DataFrame) -> DataFrame:
 def _initial_communities(counts: np.ndarray, config: CommunityConfig) -> tuple[np.ndarray, np.ndarray]:
     """Types by quantiles of the annotators' agreement with the first posterior."""
     total = np.maximum(counts.sum((1, 2)), 1e-9)
-    order = np.argsort(np.trace(counts, axis1=1, axis2=2) / total, kind="stable")
+    order = np.argsort(np.trace(by_class(counts), axis1=1, axis2=2) / total, kind="stable")
     resp = np.zeros((len(counts), config.communities))
     resp[order, np.arange(len(order)) * config.communities // max(1, len(order))] = 1
     return community_means(community_update(counts, resp, config)[0], config), np.full(config.communities, 1 / config.communities)
@@ -151,27 +171,27 @@ def _broadcast_rounds(last: DataFrame, names: list[str], config: CommunityConfig
 
     def counts_of(step) -> tuple[np.ndarray, np.ndarray]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total, mass = np.zeros((n, K, K)), np.zeros(K)
+            total, mass = np.zeros((n, K, V)), np.zeros(K)
             for batch in batches:
                 item, who, vote = _flatten(batch)
                 q = step(item, who, vote, len(batch))
                 mass += q.sum(0)
                 np.add.at(total.transpose(0, 2, 1), (who, vote), q[item])
             index = np.flatnonzero(total.reshape(n, -1).any(1))
-            yield pd.DataFrame({"who": np.r_[index, -1], "sums": [*total[index].reshape(len(index), -1).tolist(), [*mass, *[0.0] * (K * K - K)]]})
+            yield pd.DataFrame({"who": np.r_[index, -1], "sums": [*total[index].reshape(len(index), -1).tolist(), [*mass, *[0.0] * (K * V - K)]]})
 
-        got = items.mapInPandas(run, "who bigint, sums array<double>").groupBy("who").agg(F.array(*[F.sum(F.col("sums")[j]) for j in range(K * K)]).alias("sums")).collect()
-        total, mass = np.zeros((n, K, K)), np.zeros(K)
+        got = items.mapInPandas(run, "who bigint, sums array<double>").groupBy("who").agg(F.array(*[F.sum(F.col("sums")[j]) for j in range(K * V)]).alias("sums")).collect()
+        total, mass = np.zeros((n, K, V)), np.zeros(K)
         for r in got:
             if r["who"] < 0:
                 mass = np.array(r["sums"][:K])
             else:
-                total[r["who"]] = np.array(r["sums"]).reshape(K, K)
+                total[r["who"]] = np.array(r["sums"]).reshape(K, V)
         return total, mass
 
     def first(item, who, vote, size):
         q = np.full((size, K), 1e-3)
-        np.add.at(q, (item, vote), 1.0)
+        np.add.at(q, (item, vote // BINS), 1.0)
         return q / q.sum(1, keepdims=True)
 
     counts, mass = counts_of(first)
@@ -203,7 +223,7 @@ def _broadcast_rounds(last: DataFrame, names: list[str], config: CommunityConfig
             q = _posterior(item, m[who, :, vote], len(batch), p)
             best = q.argmax(1)
             votes_on = np.bincount(item, minlength=len(batch))
-            with_best = np.bincount(item, weights=(vote == best[item]), minlength=len(batch))
+            with_best = np.bincount(item, weights=(vote // BINS == best[item]), minlength=len(batch))
             yield pd.DataFrame({"item_id": batch["item_id"], "label": [CLASSES[k] for k in best], "posterior": q.max(1), "agreement": [a / b if b else None for a, b in zip(with_best, votes_on)], "n_votes": votes_on})
 
     found = items.mapInPandas(finish, "item_id bigint, label string, posterior double, agreement double, n_votes bigint")
@@ -221,17 +241,17 @@ def _joined_rounds(last: DataFrame, config: CommunityConfig) -> Consensus:
 
     def annotators(posterior: DataFrame) -> DataFrame:
         stats = _stats(given.join(posterior, "item_id"))
-        return cut(stats.groupBy("labeler").agg(*[F.coalesce(F.sum(F.when(F.col("vote") == v, F.col(f"q{k}"))), F.lit(0.0)).alias(f"n{k}_{v}") for k in range(K) for v in range(K)]))
+        return cut(stats.groupBy("labeler").agg(*[F.coalesce(F.sum(F.when(F.col("vote") == v, F.col(f"q{k}"))), F.lit(0.0)).alias(f"n{k}_{v}") for k in range(K) for v in range(V)]))
 
-    names = [f"n{k}_{v}" for k in range(K) for v in range(K)]
+    names = [f"n{k}_{v}" for k in range(K) for v in range(V)]
     people = annotators(posterior)
     mass = np.array(posterior.agg(*[F.sum(c) for c in q_cols]).first(), float)
-    total = np.zeros((config.communities, K, K))
+    total = np.zeros((config.communities, K, V))
     # quantiles of agreement start the types, as in the other way
-    agree = people.withColumn("a", sum(F.col(f"n{k}_{k}") for k in range(K)) / F.greatest(sum(F.col(c) for c in names), F.lit(1e-9)))
+    agree = people.withColumn("a", sum(F.col(f"n{k}_{k * BINS + b}") for k in range(K) for b in range(BINS)) / F.greatest(sum(F.col(c) for c in names), F.lit(1e-9)))
     cuts = agree.approxQuantile("a", [i / config.communities for i in range(1, config.communities)], 0.001)
     for r in agree.withColumn("c", sum((F.col("a") > x).cast("int") for x in cuts)).groupBy("c").agg(*[F.sum(c).alias(c) for c in names]).collect():
-        total[r["c"]] = np.array([r[c] for c in names]).reshape(K, K)
+        total[r["c"]] = np.array([r[c] for c in names]).reshape(K, V)
     matrices, weights = community_means(total * np.minimum(1, 1000 / np.maximum(total.sum((1, 2), keepdims=True), 1e-9)), config), np.full(config.communities, 1 / config.communities)
     out_schema = "labeler string, n_votes double, community int, reliability double, m array<double>"
     sums_schema = "sums array<double>"
@@ -239,32 +259,32 @@ def _joined_rounds(last: DataFrame, config: CommunityConfig) -> Consensus:
     def updated(people: DataFrame, matrices, weights, prior):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                c = b[names].to_numpy(float).reshape(-1, K, K)
+                c = b[names].to_numpy(float).reshape(-1, K, V)
                 m, own, resp = annotator_update(c, matrices, weights, config.strength)
                 rel = np.einsum("nkk,k->n", own, np.exp(prior))
                 yield pd.DataFrame({"labeler": b["labeler"], "n_votes": c.sum((1, 2)), "community": resp.argmax(1), "reliability": rel, "m": list(m.reshape(len(b), -1))})
 
         def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                c = b[names].to_numpy(float).reshape(-1, K, K)
+                c = b[names].to_numpy(float).reshape(-1, K, V)
                 s, w = community_update(c, annotator_update(c, matrices, weights, config.strength)[2], config)
                 yield pd.DataFrame({"sums": [np.r_[s.ravel(), w]]})
 
-        width = config.communities * (K * K + 1)
+        width = config.communities * (K * V + 1)
         got = np.array(people.mapInPandas(sums, sums_schema).agg(*[F.sum(F.col("sums")[j]) for j in range(width)]).first(), float)
         return people.mapInPandas(run, out_schema), got
 
     for _ in range(config.most_rounds):
         prior = np.log((mass + 1) / (mass + 1).sum())
         params, got = updated(people, matrices, weights, prior)
-        scored = given.join(params, "labeler").select("item_id", *[F.element_at("m", F.lit(k * K + 1) + F.col("vote")).alias(f"s{k}") for k in range(K)])
+        scored = given.join(params, "labeler").select("item_id", *[F.element_at("m", F.lit(k * V + 1) + F.col("vote")).alias(f"s{k}") for k in range(K)])
         logs = scored.groupBy("item_id").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(K)])
         full = last.select("item_id").distinct().join(logs, "item_id", "left").select("item_id", *[(F.coalesce(f"s{k}", F.lit(0.0)) + float(prior[k])).alias(f"s{k}") for k in range(K)])
         top = F.greatest(*[F.col(f"s{k}") for k in range(K)])
         raw = full.select("item_id", *[F.exp(F.col(f"s{k}") - top).alias(f"q{k}") for k in range(K)])
         before, posterior = posterior, cut(raw.select("item_id", *[(F.col(c) / sum(F.col(x) for x in q_cols)).alias(c) for c in q_cols]))
-        s = got[: config.communities * K * K].reshape(config.communities, K, K)
-        w = got[config.communities * K * K :]
+        s = got[: config.communities * K * V].reshape(config.communities, K, V)
+        w = got[config.communities * K * V :]
         matrices, weights = community_means(s, config), (w + 1) / (w + 1).sum()
         people = annotators(posterior)
         mass = np.array(posterior.agg(*[F.sum(c) for c in q_cols]).first(), float)
@@ -273,7 +293,7 @@ def _joined_rounds(last: DataFrame, config: CommunityConfig) -> Consensus:
             break
     best = F.expr("CASE " + " ".join(f"WHEN q{k} = top THEN {k}" for k in range(K)) + " END")
     picked = posterior.withColumn("top", F.greatest(*q_cols)).select("item_id", best.alias("best"), F.col("top").alias("posterior"))
-    counted = last.join(picked, "item_id").groupBy("item_id").agg(F.first("best").alias("best"), F.first("posterior").alias("posterior"), F.count("vote").alias("n_votes"), F.count_if(F.col("vote") == F.col("best")).alias("with_best"))
+    counted = last.join(picked, "item_id").groupBy("item_id").agg(F.first("best").alias("best"), F.first("posterior").alias("posterior"), F.count("vote").alias("n_votes"), F.count_if(F.floor(F.col("vote") / BINS) == F.col("best")).alias("with_best"))
     items = counted.select("item_id", F.element_at(F.array(*map(F.lit, CLASSES)), F.col("best") + 1).alias("label"), "posterior", F.when(F.col("n_votes") > 0, F.col("with_best") / F.col("n_votes")).alias("agreement"), "n_votes")
     params, _ = updated(people, matrices, weights, np.log((mass + 1) / (mass + 1).sum()))
     return Consensus(items, params.select("labeler", "community", "reliability", F.round("n_votes").cast("bigint").alias("n_votes")))

@@ -35,8 +35,8 @@ CONFIDENCE = (0.5, 0.6, 0.7, 0.8, 0.85, 0.9)
 BINS = len(CONFIDENCE) + 2
 #: What is seen of a vote: its class and its bin of confidence.
 V = K * BINS
-#: Annotators whose matrices (K * V doubles each, 64 MB at most) may be sent to every task.
-MOST_BROADCAST = 40_000
+#: Annotators whose matrices (K * V doubles each, 3 MB at most) may be sent to every task and summed on the driver.
+MOST_BROADCAST = 2_000
 
 
 @dataclass(frozen=True)
@@ -149,10 +149,6 @@ def _start(last: DataFrame) -> DataFrame:
     return shares
 
 
-def _stats(votes_q: DataFrame) -> DataFrame:
-    return votes_q.groupBy("labeler", "vote").agg(*[F.sum(f"q{k}").alias(f"q{k}") for k in range(K)])
-
-
 def _initial_communities(counts: np.ndarray, config: CommunityConfig) -> tuple[np.ndarray, np.ndarray]:
     """Types by quantiles of the annotators' agreement with the first posterior."""
     total = np.maximum(counts.sum((1, 2)), 1e-9)
@@ -177,16 +173,14 @@ def _broadcast_rounds(last: DataFrame, names: list[str], config: CommunityConfig
                 q = step(item, who, vote, len(batch))
                 mass += q.sum(0)
                 np.add.at(total.transpose(0, 2, 1), (who, vote), q[item])
-            index = np.flatnonzero(total.reshape(n, -1).any(1))
-            yield pd.DataFrame({"who": np.r_[index, -1], "sums": [*total[index].reshape(len(index), -1).tolist(), [*mass, *[0.0] * (K * V - K)]]})
-
-        got = items.mapInPandas(run, "who bigint, sums array<double>").groupBy("who").agg(F.array(*[F.sum(F.col("sums")[j]) for j in range(K * V)]).alias("sums")).collect()
-        total, mass = np.zeros((n, K, V)), np.zeros(K)
-        for r in got:
-            if r["who"] < 0:
-                mass = np.array(r["sums"][:K])
-            else:
-                total[r["who"]] = np.array(r["sums"]).reshape(K, V)
+            cells = np.flatnonzero(total)
+            yield pd.DataFrame({"cell": np.r_[cells, -1 - np.arange(K)], "value": np.r_[total.ravel()[cells], mass]})
+
+        got = items.mapInPandas(run, "cell bigint, value double").groupBy("cell").agg(F.sum("value").alias("value")).toPandas()
+        at, value = got["cell"].to_numpy(np.int64), got["value"].to_numpy(float)
+        total, mass = np.zeros(n * K * V), np.zeros(K)
+        total[at[at >= 0]], mass[-1 - at[at < 0]] = value[at >= 0], value[at < 0]
+        total = total.reshape(n, K, V)
         return total, mass
 
     def first(item, who, vote, size):
@@ -240,39 +234,58 @@ def _joined_rounds(last: DataFrame, config: CommunityConfig) -> Consensus:
     q_cols = [f"q{k}" for k in range(K)]
 
     def annotators(posterior: DataFrame) -> DataFrame:
-        stats = _stats(given.join(posterior, "item_id"))
-        return cut(stats.groupBy("labeler").agg(*[F.coalesce(F.sum(F.when(F.col("vote") == v, F.col(f"q{k}"))), F.lit(0.0)).alias(f"n{k}_{v}") for k in range(K) for v in range(V)]))
+        # one row per annotator: its expected counts by vote, at most V entries
+        stats = given.join(posterior, "item_id").groupBy("labeler", "vote").agg(*[F.sum(c).alias(c) for c in q_cols])
+        return cut(stats.groupBy("labeler").agg(F.collect_list(F.struct("vote", F.array(*q_cols).alias("q"))).alias("stats")))
+
+    def counts_of(batch: pd.DataFrame) -> np.ndarray:
+        c = np.zeros((len(batch), K, V))
+        for i, rows in enumerate(batch["stats"]):
+            for r in rows:
+                c[i, :, r["vote"]] = r["q"]
+        return c
+
+    def summed(people: DataFrame, cells) -> np.ndarray:
+        """Sums over the annotators of what cells(counts) gives, an array of fixed length."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    v = cells(counts_of(b))
+                    yield pd.DataFrame({"cell": np.arange(len(v)), "value": v})
+
+        got = people.mapInPandas(run, "cell bigint, value double").groupBy("cell").agg(F.sum("value").alias("value")).orderBy("cell").toPandas()
+        return got["value"].to_numpy(float)
 
-    names = [f"n{k}_{v}" for k in range(K) for v in range(V)]
     people = annotators(posterior)
-    mass = np.array(posterior.agg(*[F.sum(c) for c in q_cols]).first(), float)
-    total = np.zeros((config.communities, K, V))
-    # quantiles of agreement start the types, as in the other way
-    agree = people.withColumn("a", sum(F.col(f"n{k}_{k * BINS + b}") for k in range(K) for b in range(BINS)) / F.greatest(sum(F.col(c) for c in names), F.lit(1e-9)))
-    cuts = agree.approxQuantile("a", [i / config.communities for i in range(1, config.communities)], 0.001)
-    for r in agree.withColumn("c", sum((F.col("a") > x).cast("int") for x in cuts)).groupBy("c").agg(*[F.sum(c).alias(c) for c in names]).collect():
-        total[r["c"]] = np.array([r[c] for c in names]).reshape(K, V)
-    matrices, weights = community_means(total * np.minimum(1, 1000 / np.maximum(total.sum((1, 2), keepdims=True), 1e-9)), config), np.full(config.communities, 1 / config.communities)
+    mass = np.array(posterior.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in q_cols]).first(), float)
+    # shares of agreement between 0 and 1, in steps, start the types as in the other way
+    steps = 200
+
+    def agreement(c: np.ndarray) -> np.ndarray:
+        return np.minimum((steps * np.trace(by_class(c), axis1=1, axis2=2) / np.maximum(c.sum((1, 2)), 1e-9)).astype(int), steps - 1)
+
+    histogram = summed(people, lambda c: np.bincount(agreement(c), minlength=steps).astype(float))
+    kind = np.minimum((np.r_[0, np.cumsum(histogram)[:-1]] * config.communities / max(1.0, histogram.sum())).astype(int), config.communities - 1)
+
+    def start(c: np.ndarray) -> np.ndarray:
+        return community_update(c, np.eye(config.communities)[kind[agreement(c)]], config)[0].ravel()
+
+    matrices, weights = community_means(summed(people, start).reshape(config.communities, K, V), config), np.full(config.communities, 1 / config.communities)
     out_schema = "labeler string, n_votes double, community int, reliability double, m array<double>"
-    sums_schema = "sums array<double>"
 
-    def updated(people: DataFrame, matrices, weights, prior):
+    def updated(people: DataFrame, matrices, weights, prior) -> tuple[DataFrame, np.ndarray]:
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                c = b[names].to_numpy(float).reshape(-1, K, V)
+                c = counts_of(b)
                 m, own, resp = annotator_update(c, matrices, weights, config.strength)
                 rel = np.einsum("nkk,k->n", own, np.exp(prior))
                 yield pd.DataFrame({"labeler": b["labeler"], "n_votes": c.sum((1, 2)), "community": resp.argmax(1), "reliability": rel, "m": list(m.reshape(len(b), -1))})
 
-        def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                c = b[names].to_numpy(float).reshape(-1, K, V)
-                s, w = community_update(c, annotator_update(c, matrices, weights, config.strength)[2], config)
-                yield pd.DataFrame({"sums": [np.r_[s.ravel(), w]]})
+        def cells(c: np.ndarray) -> np.ndarray:
+            return np.concatenate([x.ravel() for x in community_update(c, annotator_update(c, matrices, weights, config.strength)[2], config)])
 
-        width = config.communities * (K * V + 1)
-        got = np.array(people.mapInPandas(sums, sums_schema).agg(*[F.sum(F.col("sums")[j]) for j in range(width)]).first(), float)
-        return people.mapInPandas(run, out_schema), got
+        return people.mapInPandas(run, out_schema), summed(people, cells)
 
     for _ in range(config.most_rounds):
         prior = np.log((mass + 1) / (mass + 1).sum())
@@ -287,7 +300,7 @@ def _joined_rounds(last: DataFrame, config: CommunityConfig) -> Consensus:
         w = got[config.communities * K * V :]
         matrices, weights = community_means(s, config), (w + 1) / (w + 1).sum()
         people = annotators(posterior)
-        mass = np.array(posterior.agg(*[F.sum(c) for c in q_cols]).first(), float)
+        mass = np.array(posterior.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in q_cols]).first(), float)
         moved = posterior.join(before.select("item_id", *[F.col(c).alias(f"b{c}") for c in q_cols]), "item_id").agg(F.sum(sum(F.abs(F.col(c) - F.col(f"b{c}")) for c in q_cols))).first()[0] or 0.0
         if moved <= config.settled * max(1.0, mass.sum()):
             break

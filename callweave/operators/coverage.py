@@ -89,7 +89,7 @@ def _pieces(within: int, least_gap: int):
                 a, b = max(a, 0), b if extent is None else min(b, extent)
                 if b > a:
                     periods.insert(a, b)
-            if rows:
+            if periods.starts:
                 out.extend((entity, "period", a, b) for a, b in periods.periods())
                 out.extend((entity, "gap", a, b) for a, b in periods.gaps(0, extent) if b - a >= least_gap)
 
@@ -119,8 +119,8 @@ def _pieces(within: int, least_gap: int):
 def interval_coverage(intervals: DataFrame, extents: DataFrame, entity: str, start: str, end: str, extent_entity: str, extent: str, within_s: float = 0.05) -> DataFrame:
     """(entity, piece, start_ms, end_ms): periods and gaps of every entity that has a usable interval.
 
-    Intervals less than within_s apart make one period; gaps are within_s or longer. An entity whose usable intervals
-    are all outside its extent is one gap.
+    Intervals less than within_s apart make one period; gaps are within_s or longer. An entity whose intervals are all
+    outside its extent has no usable one and is left out.
     """
     us = lambda c: F.round(F.col(c) * US, 0).cast("bigint")
     inf = F.lit(float("inf"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -41,14 +41,13 @@ def spontaneous_score(normal: Column, toks: Column, human: Sequence[str], marker
     return F.least(F.lit(1.0), 0.54 * F.least(ratio / 0.12, F.lit(1.0)) + 0.7 * phrase_score(normal, human))
 
 
-def hashed_embedding(rows: DataFrame, grams: str, out: str, size: int = 64) -> DataFrame:
-    """rows with out: signed counts of hashed grams, scaled to length one; zeros for no grams. Staged in columns, so that every gram is hashed once."""
-    staged = rows.withColumn("_h", F.transform(F.col(grams), lambda g: F.conv(F.substring(F.md5(g), 1, 9), 16, 10).cast("bigint")))
-    staged = staged.withColumn("_h", F.transform("_h", lambda h: F.struct(F.pmod(h, F.lit(size)).alias("b"), F.when(F.shiftright(h, 32) % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0)).alias("s"))))
-    zeros = F.array_repeat(F.lit(0.0), size)
-    staged = staged.withColumn("_v", F.aggregate("_h", zeros, lambda acc, x: F.transform(acc, lambda v, i: F.when(i == x["b"], v + x["s"]).otherwise(v))))
-    staged = staged.withColumn("_n", F.sqrt(F.aggregate("_v", F.lit(0.0), lambda acc, x: acc + x * x)))
-    return staged.withColumn(out, F.transform("_v", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(F.lit(0.0)))).drop("_h", "_v", "_n")
+def hashed_embedding(rows: DataFrame, key: str, grams: str, size: int = 64) -> DataFrame:
+    """(key, bucket, value) of the non-zero entries: signed counts of hashed grams, scaled to length one. Every gram is hashed once and combined before the shuffle by key."""
+    h = F.conv(F.substring(F.md5("gram"), 1, 9), 16, 10).cast("bigint")
+    counts = rows.select(key, F.explode(grams).alias("gram")).withColumn("h", h)
+    sums = counts.groupBy(key, F.pmod("h", F.lit(size)).alias("bucket")).agg(F.sum(F.when(F.shiftright("h", 32) % 2 == 1, F.lit(1.0)).otherwise(F.lit(-1.0))).alias("v"))
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(key)))
+    return sums.withColumn("value", F.col("v") / norm).filter("v <> 0").select(key, "bucket", "value")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -19,6 +19,8 @@ from callweave.operators.sequence import ordered_fold
 
 #: Labelers whose vote breaks ties, most trusted first (fixed value).
 TIEBREAK = ("asr_llm", "gpt_audio", "gemini")
+#: Grid cells that are voted on together (a minute of cells of 250 ms).
+GRID_BLOCK = 240
 
 
 def _winner(votes: DataFrame, keys: Sequence[str], tiebreak: Sequence[str]) -> DataFrame:
@@ -32,13 +34,19 @@ def _winner(votes: DataFrame, keys: Sequence[str], tiebreak: Sequence[str]) -> D
 
 def grid_vote(segments: DataFrame, calls: DataFrame, cell_s: float = 0.25, tiebreak: Sequence[str] = TIEBREAK) -> DataFrame:
     """(call_id, frame, label, agreement, n_voters): majority per grid cell; a segment covers every cell it touches, later segments of a labeler overwrite earlier ones."""
+    # segments are cut at blocks of the grid and shuffled once by (call, block); all later steps keep that partitioning
+    per = GRID_BLOCK
+    keys = ["call_id", "block"]
     n = F.ceil(F.col("duration_s") / cell_s).cast("int")
-    spine = calls.filter("duration_s > 0").select("call_id", F.explode(F.sequence(F.lit(0), n - 1)).alias("frame"))
+    block_end = F.least(n, (F.col("block") + 1) * per)
+    spine = calls.filter("duration_s > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / per).cast("int")))).repartition(*keys)
+    spine = spine.select(*keys, F.explode(F.sequence(F.col("block") * per, block_end - 1)).alias("frame"))
     lo, hi = F.greatest(F.lit(0), F.floor(F.col("start") / cell_s)).cast("int"), F.least(n, F.ceil(F.col("end") / cell_s).cast("int"))
-    cells = segments.withColumns({"lo": lo, "hi": hi}).filter("hi > lo").select("call_id", "labeler", "seq", "label", F.explode(F.sequence(F.col("lo"), F.col("hi") - 1)).alias("frame"))
-    last = cells.groupBy("call_id", "frame", "labeler").agg(F.max_by("label", "seq").alias("label"))
-    won = _winner(last, ["call_id", "frame"], tiebreak)
-    return spine.join(won, ["call_id", "frame"], "left").select("call_id", "frame", F.coalesce("label", F.lit("unknown")).alias("label"), F.coalesce("agreement", F.lit(0.0)).alias("agreement"), F.coalesce("n_voters", F.lit(0)).alias("n_voters"))
+    spread = segments.withColumns({"lo": lo, "hi": hi}).filter("hi > lo").select("call_id", "labeler", "seq", "label", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / per).cast("int"), F.floor((F.col("hi") - 1) / per).cast("int"))).alias("block")).repartition(*keys)
+    cells = spread.select(*keys, "labeler", "seq", "label", F.explode(F.sequence(F.greatest("lo", F.col("block") * per), F.least("hi", (F.col("block") + 1) * per) - 1)).alias("frame"))
+    last = cells.groupBy(*keys, "frame", "labeler").agg(F.max_by("label", "seq").alias("label"))
+    won = _winner(last, [*keys, "frame"], tiebreak)
+    return spine.join(won, [*keys, "frame"], "left").select("call_id", "frame", F.coalesce("label", F.lit("unknown")).alias("label"), F.coalesce("agreement", F.lit(0.0)).alias("agreement"), F.coalesce("n_voters", F.lit(0)).alias("n_voters"))
 
 
 def collapse_grid(frames: DataFrame, cell_s: float = 0.25) -> DataFrame:

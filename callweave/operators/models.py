@@ -91,17 +91,13 @@ def fit_logistic(rows: DataFrame, features: list[str] | str, label: str, l2: flo
 
 
 def temperature_grid(rows: DataFrame, logits: list[str], label: str, low: float = 0.5, high: float = 4.0, step: float = 0.05) -> DataFrame:
-    """(temperature, nll) of every temperature in one pass: the log likelihoods are summed side by side."""
-    n = round((high - low) / step) + 1
-    temps = [round(low + i * step, 2) for i in range(n)]
-
-    def nll(t: float) -> Column:
-        ps = softmax([F.col(c) for c in logits], t)
-        own = F.coalesce(*[F.when(F.col(label) == i, p) for i, p in enumerate(ps)])
-        return F.avg(-F.log(own + 1e-12))
-
-    got = rows.agg(*[nll(t).alias(f"t{i}") for i, t in enumerate(temps)])
-    return got.select(F.explode(F.array(*[F.struct(F.lit(t).alias("temperature"), F.round(f"t{i}", 6).alias("nll")) for i, t in enumerate(temps)])).alias("x")).select("x.*")
+    """(temperature, nll) of every temperature of a fixed grid; sums are combined before the shuffle, so only the grid is shuffled."""
+    temps = [round(low + i * step, 2) for i in range(round((high - low) / step) + 1)]
+    grid = rows.select(*logits, label, F.explode(F.array(*map(F.lit, temps))).alias("temperature"))
+    t, top = F.col("temperature"), F.greatest(*logits)
+    own = F.coalesce(*[F.when(F.col(label) == i, F.col(c)) for i, c in enumerate(logits)])
+    p = F.exp((own - top) / t) / (sum((F.exp((F.col(c) - top) / t) for c in logits), F.lit(0.0)) + 1e-12)
+    return grid.groupBy("temperature").agg(F.round(F.avg(-F.log(p + 1e-12)), 6).alias("nll"))
 
 
 def stratified_holdout(calls: DataFrame, call: str, stratum: str, share: float = 0.34, seed: str = "7") -> DataFrame:

@@ -500,8 +500,7 @@ h AS (SELECT turn_id, CAST('0x' || left(md5(gram), 9) AS BIGINT) AS h FROM g), b
 SELECT turn_id, bucket, floor((v / n) * 1000000.0 + 0.5) / 1000000.0 AS value FROM b JOIN nn USING (turn_id) WHERE v <> 0""")
 def hashed_embedding(spark, d):
     t = table(spark, d, "gold_turns").select("turn_id", text.ngrams(text.tokens(F.col("text"))).alias("grams")).filter("size(grams) > 0")
-    e = text.hashed_embedding(t, "grams", "e", 16).select("turn_id", F.posexplode("e").alias("bucket", "value")).filter("value <> 0")
-    return e.select("turn_id", F.col("bucket").cast("bigint").alias("bucket"), _r("value"))
+    return text.hashed_embedding(t, "turn_id", "grams", 16).select("turn_id", "bucket", _r("value"))
 
 
 _OBS_SQL = "(SELECT obs_id, text, coalesce(word_rate, 0) AS word_rate, coalesce(ivr_prompt_prob, 0) AS i, coalesce(hold_phrase_prob, 0) AS h, coalesce(human_spontaneous_prob, 0) AS m FROM semantic_obs)"

@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from callweave.functions.numbers import rounded
 from callweave.operators.intervals import interval_join, islands
 from callweave.operators.sequence import ordered_fold
+from callweave.session import shuffle_partitions
 
 #: Labelers whose vote breaks ties, most trusted first (fixed value).
 TIEBREAK = ("asr_llm", "gpt_audio", "gemini")
 #: Grid cells that are voted on together (a minute of cells of 250 ms).
 GRID_BLOCK = 240
+#: Distinct labels a grid vote can tell apart.
+MOST_LABELS = 1_000
 
 
 def _winner(votes: DataFrame, keys: Sequence[str], tiebreak: Sequence[str]) -> DataFrame:
@@ -39,14 +42,25 @@ def grid_vote(segments: DataFrame, calls: DataFrame, cell_s: float = 0.25, tiebr
     keys = ["call_id", "block"]
     n = F.ceil(F.col("duration_s") / cell_s).cast("int")
     block_end = F.least(n, (F.col("block") + 1) * per)
-    spine = calls.filter("duration_s > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / per).cast("int")))).repartition(*keys)
-    spine = spine.select(*keys, F.explode(F.sequence(F.col("block") * per, block_end - 1)).alias("frame"))
     lo, hi = F.greatest(F.lit(0), F.floor(F.col("start") / cell_s)).cast("int"), F.least(n, F.ceil(F.col("end") / cell_s).cast("int"))
-    spread = segments.withColumns({"lo": lo, "hi": hi}).filter("hi > lo").select("call_id", "labeler", "seq", "label", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / per).cast("int"), F.floor((F.col("hi") - 1) / per).cast("int"))).alias("block")).repartition(*keys)
-    cells = spread.select(*keys, "labeler", "seq", "label", F.explode(F.sequence(F.greatest("lo", F.col("block") * per), F.least("hi", (F.col("block") + 1) * per) - 1)).alias("frame"))
-    last = cells.groupBy(*keys, "frame", "labeler").agg(F.max_by("label", "seq").alias("label"))
-    won = _winner(last, [*keys, "frame"], tiebreak)
-    return spine.join(won, [*keys, "frame"], "left").select("call_id", "frame", F.coalesce("label", F.lit("unknown")).alias("label"), F.coalesce("agreement", F.lit(0.0)).alias("agreement"), F.coalesce("n_voters", F.lit(0)).alias("n_voters"))
+    # labels as numbers in order, so that every aggregate is one long and hash aggregation does without sorting
+    labels = [r[0] for r in segments.filter("label IS NOT NULL").select("label").distinct().orderBy("label").limit(MOST_LABELS + 1).collect()]
+    if len(labels) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    names = F.array(*map(F.lit, labels)) if labels else F.array().cast("array<string>")
+    code = F.coalesce(F.array_position(names, F.col("label")), F.lit(0))
+    trust = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, tiebreak)), F.col("labeler")), F.lit(0)), F.lit(1023))
+    spread = segments.withColumns({"lo": lo, "hi": hi}).filter("hi > lo").select("call_id", "labeler", (F.col("seq").cast("bigint") * 1024 + code).alias("last"), trust.alias("trust"), "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / per).cast("int"), F.floor((F.col("hi") - 1) / per).cast("int"))).alias("block"))
+    # every cell of a call is held by nobody (code 0) as well, so that no join brings in the cells without votes
+    spine = calls.filter("duration_s > 0").select("call_id", F.lit("").alias("labeler"), F.lit(0).cast("bigint").alias("last"), F.lit(1023).alias("trust"), F.lit(0).alias("lo"), n.alias("hi"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / per).cast("int"))).alias("block"))
+    both = spread.withColumns({"trust": F.col("trust").cast("int")}).unionByName(spine).repartition(shuffle_partitions(segments.sparkSession), *keys)
+    cells = both.select(*keys, "labeler", "trust", "last", F.explode(F.sequence(F.greatest("lo", F.col("block") * per), F.least("hi", (F.col("block") + 1) * per) - 1)).alias("frame"))
+    held = cells.groupBy(*keys, "frame", "labeler", "trust").agg((F.max("last") % 1024).alias("code"))
+    counted = held.groupBy(*keys, "frame", "code").agg(F.count(F.lit(1)).alias("n"), F.min("trust").alias("trust"))
+    cast = F.col("code") > 0
+    best = (F.col("n") * 1024 + (1023 - F.col("trust"))) * 1024 + (1023 - F.col("code"))
+    won = counted.groupBy(*keys, "frame").agg(F.max(F.when(cast, best)).alias("best"), F.sum(F.when(cast, F.col("n"))).alias("n_voters"))
+    return won.select("call_id", "frame", F.coalesce(F.element_at(names, (1023 - F.col("best") % 1024).cast("int")), F.lit("unknown")).alias("label"), F.coalesce(F.shiftright("best", 20) / F.col("n_voters"), F.lit(0.0)).alias("agreement"), F.coalesce("n_voters", F.lit(0)).alias("n_voters"))
 
 
 def collapse_grid(frames: DataFrame, cell_s: float = 0.25) -> DataFrame:

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from callweave.session import shuffle_partitions
+
 
 US = 1_000_000
 
@@ -128,6 +130,6 @@ def interval_coverage(intervals: DataFrame, extents: DataFrame, entity: str, sta
     folded = usable.select(F.col(entity).alias("entity"), us(start).alias("a"), us(end).alias("b")).mapInPandas(_fold, "entity string, a bigint, b bigint")
     ends = extents.filter(F.col(extent_entity).isNotNull() & (F.col(extent) >= 0) & ~F.isnan(extent) & (F.abs(extent) < inf)).select(F.col(extent_entity).alias("entity"), F.lit(None).cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b"), us(extent).alias("extent"))
     both = folded.withColumn("extent", F.lit(None).cast("bigint")).unionByName(ends)
-    pieces = both.repartition("entity").sortWithinPartitions("entity").mapInPandas(_pieces(round(within_s * US), round(within_s * US)), "entity string, piece string, a bigint, b bigint")
+    pieces = both.repartition(shuffle_partitions(intervals.sparkSession), "entity").sortWithinPartitions("entity").mapInPandas(_pieces(round(within_s * US), round(within_s * US)), "entity string, piece string, a bigint, b bigint")
     ms = lambda c: F.round(F.col(c) / 1_000, 0).cast("bigint")
     return pieces.select(F.col("entity").alias(entity), "piece", ms("a").alias("start_ms"), ms("b").alias("end_ms"))

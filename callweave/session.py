@@ -51,7 +51,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def partitions_for(df: DataFrame, rows: int, rows_each: int) -> int:
-    """Partitions for a Python stage so that each holds about rows_each rows, never fewer than the session's default."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(least, -(-rows // rows_each))
+def shuffle_partitions(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions. Given to repartition() where few bytes cause much work afterwards (explosions, Python folds): without a number adaptive execution would merge them into one task."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

@@ -3,8 +3,9 @@
 Method: a semi-Markov conditional random field. Candidate segments of bounded length are proposed for every type; whole-
 span features (form, digit groups, lexicon, case, the words around it) score them, and dynamic programming over the
 text chooses boundaries and types jointly. The weights are trained here on made-up texts by the log likelihood of the
-whole segmentation (forward-backward); nothing of the corpus is labelled. The words that are common in a bounded sample
-of the corpus count as common words, no names.
+whole segmentation (forward-backward); nothing of the corpus is labelled. How often a word occurs in the corpus is a
+feature: it removes no candidate. Nor does the list of given names: every word, and every two or three words side by side,
+may be a person.
 
 Distribution: map only; the weights (some thousand numbers) go with the task. A worker remembers the last texts it has
 seen, so that texts sent again are decoded once.
@@ -16,11 +17,13 @@ at blanks between candidates. A piece is reported once per row and surface form;
 from __future__ import annotations
 
 import math
+import random
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +31,11 @@ from pyspark.sql import functions as F
 from callweave.llm.pii_training import GIVEN, SPOKEN, WRITTEN, training_texts
 
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "identity_number": "[ID]", "address": "[ADDRESS]", "person": "[NAME]"}
-#: Distinct texts whose words are counted, and the share of them that makes a word common.
-SAMPLE, COMMON_SHARE, COMMON_LEAST = 5_000, 0.002, 8
-TRAINING_TEXTS, EPOCHS = 2_400, 4
+#: Shares of all texts at which a word's grade of frequency rises, the grade from which it is of class k, and the texts that it must occur in at least.
+SHARES, COMMON_GRADE, LEAST_TEXTS = (0.0001, 0.0005, 0.002, 0.01), 3, 3
+#: In training, the share of other words whose frequency is taken as unknown, and of names' words that are taken as frequent.
+UNKNOWN, FREQUENT = 0.03, 0.06
+TRAINING_TEXTS, EPOCHS = 5_000, 5
 
 # Words for spoken digits, streets, units and titles.
 ONES = "zero oh one two three four five six seven eight nine".split()
@@ -74,22 +79,23 @@ def _template_words() -> frozenset[str]:
 
 
 SPOKEN_NUMBER = re.compile(r"i{0,2}(?:[ztyb]){3,}")
-SPOKEN_ADDRESS = re.compile(r"(?:n|[zty]{1,4})[wGCU]{1,2}[ST](?:u(?:n|[zty]{1,2}))?")
+SPOKEN_ADDRESS = re.compile(r"(?:n|[zty]{1,4})[wGCUk]{1,2}[ST](?:u(?:n|[zty]{1,2}))?")
 SPOKEN_DOMAIN = re.compile(r"a([wGkCUi]{1,2}(?:-[wGkCUi])*(?:o[wGkCUi])+)")
-SPOKEN_LOCAL = [("pair", re.compile(r"[wGCUk][o_\-+][wGCUk]$")), ("chain", re.compile(r"[wGCUki](?:[o_\-+][wGCUki]){2,3}$")), ("initial", re.compile(r"i[wGCU](?:[ztyn]{1,3})?$")), ("word", re.compile(r"[wGCU](?:[ztyn]{1,3})?$"))]
+SPOKEN_LOCAL = [("pair", re.compile(r"[wGCUk][o_\-+][wGCUk]$")), ("chain", re.compile(r"[wGCUki](?:[o_\-+][wGCUki]){2,3}$")), ("initial", re.compile(r"i[wGCUk](?:[ztyn]{1,3})?$")), ("word", re.compile(r"[wGCUk](?:[ztyn]{1,3})?$"))]
 
 
 class Text:
     """Tokens of a text with classes: z t y b spoken numbers, n digits, i single letter, G given name, C capitalised, U upper case, k common word, w other word."""
 
-    def __init__(self, text: str, common: frozenset[str]):
+    def __init__(self, text: str, common: dict[str, int]):
         self.text = text
         self.spans = [m.span() for m in TOKEN.finditer(text)]
         self.words = [text[a:b] for a, b in self.spans]
         self.low = [w.lower() for w in self.words]
         known, given = _classes(), _given()
+        self.grade = [common.get(l, 0) for l in self.low]
         cls = []
-        for w, l in zip(self.words, self.low):
+        for w, l, g in zip(self.words, self.low, self.grade):
             if not w[0].isalnum():
                 cls.append(w if w in ",.()-#:;/'@" else "~")
             elif w[0].isdigit():
@@ -100,7 +106,7 @@ class Text:
                 cls.append("i")
             elif l in given:
                 cls.append("G")
-            elif l in common or l in MONTHS_DAYS:
+            elif g >= COMMON_GRADE or l in MONTHS_DAYS:
                 cls.append("k")
             elif w.isupper():
                 cls.append("U")
@@ -204,12 +210,12 @@ def candidates(t: Text) -> list[tuple[int, int, str, str]]:
             if not all(w.islower() or w.isdigit() for w in t.words[i:j]) or any("\n" in text[spans[x][1] : spans[x + 1][0]] or text[spans[x][1] : spans[x + 1][0]] == "" for x in range(i, j - 1)):
                 continue
             out.add((spans[i][0], spans[j - 1][1], "address", "said"))
-            if j < len(cls) and (cls[j] == "w" or cls[j] == "k" and low[j] not in _template_words()) and text[spans[j - 1][1] : spans[j][0]] == " ":
+            if j < len(cls) and cls[j] in "wGk" and text[spans[j - 1][1] : spans[j][0]] == " ":
                 out.add((spans[i][0], spans[j][1], "address", "said town"))
     for i, c in enumerate(cls):
-        # persons begin at a given name, an initial, a name after a title or a capitalised word that is not common
+        # persons are any word, any two or three side by side, and the forms with initials, commas and dashes
         after_title = i > 0 and (cls[i - 1] == "T" or cls[i - 1] == "." and i > 1 and cls[i - 2] == "T")
-        if c in "GCU" or c == "w" and after_title:
+        if c in "GCUwk":
             p = spans[i][0]
             out.add((p, spans[i][1], "person", f"{c}{' title' if after_title else ''}"))
             for name, pattern in PERSON:
@@ -217,14 +223,15 @@ def candidates(t: Text) -> list[tuple[int, int, str, str]]:
                 if m and _tight(text, spans, i, m.end()):
                     out.add((p, spans[m.end() - 1][1], "person", f"{name} {m[0]}{' title' if after_title else ''}"))
         elif c == "i" and t.words[i].isupper():
-            m = INITIAL.match(cls, i)
-            if m and _tight(text, spans, i, m.end()):
-                out.add((spans[i][0], spans[m.end() - 1][1], "person", f"initial {m[0]}"))
+            for pattern in INITIAL:
+                m = pattern.match(cls, i)
+                if m and _tight(text, spans, i, m.end()):
+                    out.add((spans[i][0], spans[m.end() - 1][1], "person", f"initial {m[0]}"))
     return sorted(out, key=lambda x: (x[1], x[0]))
 
 
-PERSON = [("two", re.compile(r"(?:G[GwCU]|CC|CG|UU|UG)")), ("middle", re.compile(r"[GC]i\.?[wCUG]")), ("last first", re.compile(r"[CUG],[GU]")), ("dashed", re.compile(r"[GC]?[CG]-[CG]"))]
-INITIAL = re.compile(r"i\.(?:i\.)?[CUG]")
+PERSON = [("two", re.compile(r"[GCUwk]{2}")), ("three", re.compile(r"[GCUwk]{3}")), ("middle", re.compile(r"[GCUwk]i\.?[GCUwk]")), ("last first", re.compile(r"[GCUwk],[GCUwk]")), ("two last first", re.compile(r"[GCUwk]{2},[GCUwk]")), ("dashed", re.compile(r"[GCUwk]-[GCUwk]")), ("dashed given", re.compile(r"[GCUwk]{2}-[GCUwk]"))]
+INITIAL = [re.compile(r"i\.(?:i\.)?[GCUwk]"), re.compile(r"i\.(?:i\.)?[GCUwk]{2}")]
 
 
 def _tight(text: str, spans: list[tuple[int, int]], i: int, j: int) -> bool:
@@ -236,36 +243,60 @@ def _shape(s: str) -> str:
     return re.sub(r"[A-Za-z]+", lambda m: f"A{len(m[0])}", re.sub(r"\d+", lambda m: str(len(m[0])), s))
 
 
-def features(t: Text, cand: tuple[int, int, str, str]) -> list[str]:
-    """Whole-span features of a candidate."""
-    a, b, kind, form = cand
-    i, j = t.token_after(a), t.token_after(b)
+def _left(t: Text, kind: str, i: int) -> list[str]:
+    """Features of what stands before a candidate."""
+    a, b, c = ["<s>", "<s>", "<s>", *t.low[max(0, i - 3) : i]][-3:]
+    return [f"{kind}|bias", f"{kind}|l1={c}", f"{kind}|l2={b} {c}", *(f"{kind}|near={w}" for w in {a, b, c})]
+
+
+def _right(t: Text, kind: str, j: int) -> list[str]:
+    """Features of what follows a candidate."""
+    a, b = [*t.low[j : j + 2], "</s>", "</s>"][:2]
+    return [f"{kind}|r1={a}", f"{kind}|r2={a} {b}"]
+
+
+def _span(t: Text, i: int, j: int, kind: str, form: str) -> list[str]:
+    """Features of a candidate itself, also together with its neighbours."""
     low, cls = t.low, t.cls
-    left = ["<s>", "<s>", "<s>", *low[max(0, i - 3) : i]][-3:]
-    right = [*low[j : j + 2], "</s>", "</s>"][:2]
-    lc = cls[i - 1] if i else "^"
+    left, right = low[i - 1] if i else "<s>", low[j] if j < len(low) else "</s>"
+    lc, rc = cls[i - 1] if i else "^", cls[j : j + 1] or "$"
     k = f"{kind}|"
-    starts = i == 0 or t.words[i - 1] in SENTENCE_END
-    out = [k + "bias", k + form, f"{k}l1={left[2]}", f"{k}l2={left[1]} {left[2]}", f"{k}r1={right[0]}", f"{k}r2={right[0]} {right[1]}", f"{k}l={left[2]} r={right[0]}"]
-    out += [f"{k}near={w}" for w in set(left)]
+    out = [k + form, f"{k}l={left} r={right}"]
     if kind == "person":
-        given = sum(c == "G" for c in cls[i:j])
-        out += [f"{k}given={min(2, given)}", f"{k}len={j - i}", f"{k}start={starts} {form}", f"{k}rc={cls[j : j + 1] or '$'} {form}", f"{k}lc={lc} {form}"]
+        given = cls.count("G", i, j)
+        grades = [g for g, w in zip(t.grade[i:j], low[i:j]) if len(w) > 1]
+        starts = i == 0 or t.words[i - 1] in SENTENCE_END
+        out += [f"{k}given={min(2, given)}", f"{k}len={j - i}", f"{k}start={starts} {form}", f"{k}rc={rc} {form}", f"{k}lc={lc} {form}"]
+        out += [f"{k}first={grades[0]} {cls[i]} {j - i}", f"{k}last={grades[-1]} {cls[j - 1]} {j - i}", f"{k}grades={min(grades)} {max(grades)} {given > 0}", f"{k}{form} l1={left}"]
+        around = [left, *low[i:j], right]
+        if any(x == y for x, y in zip(around, around[1:])):  # a word said again and again
+            out += [f"{k}again", f"{k}again {form}"]
         if given and j - i == 1:
             out.append(f"{k}word={low[i]} case={t.words[i][0].isupper()}")
     elif kind == "address":
-        out += [f"{k}n={min(8, j - i)}", f"{k}rc={cls[j : j + 1] or '$'}", f"{k}next={cls[j : j + 2]}", f"{k}{form} next={cls[j : j + 2]}"]
+        out += [f"{k}n={min(8, j - i)}", f"{k}rc={rc}", f"{k}next={cls[j : j + 2]}", f"{k}{form} next={cls[j : j + 2]}"]
+        if form.startswith("said"):
+            out.append(f"{k}street={max((g for g, c in zip(t.grade[i:j], cls[i:j]) if c in 'wGCUk'), default=0)}")
         if form == "said town":
-            out.append(f"{k}town={low[j - 1][-4:]}")
+            out += [f"{k}town={low[j - 1][-4:]}", f"{k}town={t.grade[j - 1]}"]
     else:
-        out += [f"{k}{form} l1={left[2]}", f"{k}lc={lc}"]
+        out += [f"{k}{form} l1={left}", f"{k}lc={lc}"]
+        if kind == "email":
+            out.append(f"{k}{form} first={cls[i]}{t.grade[i]}")
     return out
 
 
+def features(t: Text, cand: tuple[int, int, str, str]) -> list[str]:
+    """Whole-span features of a candidate."""
+    a, b, kind, form = cand
+    i, j = t.token_after(a), t.token_after(b)
+    return _left(t, kind, i) + _right(t, kind, j) + _span(t, i, j, kind, form)
+
+
 class SemiMarkov:
     """Weights of features; scoring, decoding and training over the lattice of candidates."""
 
-    def __init__(self, weights: dict[str, float], common: frozenset[str]):
+    def __init__(self, weights: dict[str, float], common: dict[str, int]):
         self.weights, self.common = weights, common
 
     def _lattice(self, cands: list[tuple[int, int, str, str]]) -> tuple[list[int], list[int], list[int]]:
@@ -281,7 +312,21 @@ class SemiMarkov:
         if not cands:
             return []
         w = self.weights.get
-        scored = [(c, s) for c in cands if (s := sum(w(f, 0.0) for f in features(t, c))) > 0]
+        # what stands before and after is scored once per token and type
+        total = lambda fs: sum([w(f, 0.0) for f in fs])
+        first, after = {a: i for i, (a, _) in enumerate(t.spans)}, {b: i + 1 for i, (_, b) in enumerate(t.spans)}
+        ahead: dict[tuple[str, int], float] = {}
+        behind: dict[tuple[str, int], float] = {}
+        scored = []
+        for c in cands:
+            a, b, kind, form = c
+            i, j = first[a] if a in first else t.token_after(a), after[b] if b in after else t.token_after(b)
+            if (kind, i) not in ahead:
+                ahead[kind, i] = total(_left(t, kind, i))
+            if (kind, j) not in behind:
+                behind[kind, j] = total(_right(t, kind, j))
+            if (s := ahead[kind, i] + behind[kind, j] + total(_span(t, i, j, kind, form))) > 0:
+                scored.append((c, s))
         if not scored:
             return []
         _, starts, ends = self._lattice([c for c, _ in scored])
@@ -308,45 +353,50 @@ class SemiMarkov:
         return out[::-1]
 
     @classmethod
-    def train(cls, common: frozenset[str] = frozenset(), n: int = TRAINING_TEXTS, epochs: int = EPOCHS, seed: int = 11) -> SemiMarkov:
-        """Stochastic gradient ascent (AdaGrad) on the conditional log likelihood of the segmentations."""
-        common = frozenset(_template_words() - _given()) | common
-        model, rows = cls({}, common), []
+    def train(cls, common: dict[str, int] | None = None, n: int = TRAINING_TEXTS, epochs: int = EPOCHS, seed: int = 11) -> SemiMarkov:
+        """Stochastic gradient ascent (AdaGrad) on the conditional log likelihood of the segmentations. Some words' frequencies are changed by chance, so that context decides where frequency misleads."""
+        common = dict.fromkeys(_template_words() - _given(), COMMON_GRADE) | (common or {})
+        model, rows, number, r = cls({}, common), [], {}, random.Random(seed)
         for pieces in training_texts(n, seed):
-            text, gold = "", set()
+            text, gold, changed = "", set(), {}
             for piece, kind in pieces:
                 if kind:
                     gold.add((len(text), len(text) + len(piece), kind))
+                for w in re.findall(r"[^\W\d_]+", piece.lower()):
+                    if w not in changed and r.random() < (FREQUENT if kind else UNKNOWN):
+                        changed[w] = r.randrange(1, len(SHARES)) if kind else 0
                 text += piece
-            t = Text(text, common)
+            t = Text(text, ChainMap(changed, common))
             cands = candidates(t)
             if cands:
-                rows.append((model._lattice(cands), [features(t, c) for c in cands], [(c[0], c[1], c[2]) in gold for c in cands]))
-        w: dict[str, float] = {}
-        sq: dict[str, float] = {}
+                feats = [[number.setdefault(f, len(number)) for f in features(t, c)] for c in cands]
+                sizes = [len(f) for f in feats]
+                rows.append((model._lattice(cands), np.concatenate([np.array(f) for f in feats]), np.cumsum([0, *sizes[:-1]]), np.array(sizes), np.array([(c[0], c[1], c[2]) in gold for c in cands], float)))
+        w, sq = np.zeros(len(number)), np.ones(len(number))
         for _ in range(epochs):
-            for (borders, starts, ends), feats, is_gold in rows:
-                scores = [sum(w.get(f, 0.0) for f in fs) for fs in feats]
+            for (borders, starts, ends), flat, at, sizes, is_gold in rows:
+                scores = np.add.reduceat(w[flat], at).tolist()
                 n_pos = len(borders)
                 ahead, behind = [0.0] * n_pos, [0.0] * n_pos
-                by_end: dict[int, list[int]] = {}
-                by_start: dict[int, list[int]] = {}
+                by_end: list[list[int]] = [[] for _ in borders]
+                by_start: list[list[int]] = [[] for _ in borders]
                 for k, (s, e) in enumerate(zip(starts, ends)):
-                    by_end.setdefault(e, []).append(k)
-                    by_start.setdefault(s, []).append(k)
+                    by_end[e].append(k)
+                    by_start[s].append(k)
                 for p in range(1, n_pos):
-                    ahead[p] = _log_sum([ahead[p - 1], *(ahead[starts[k]] + scores[k] for k in by_end.get(p, ()))])
+                    ahead[p] = _log_sum([ahead[p - 1], *(ahead[starts[k]] + scores[k] for k in by_end[p])])
                 for p in range(n_pos - 2, -1, -1):
-                    behind[p] = _log_sum([behind[p + 1], *(behind[ends[k]] + scores[k] for k in by_start.get(p, ()))])
-                for k, fs in enumerate(feats):
-                    expected = math.exp(min(0.0, ahead[starts[k]] + scores[k] + behind[ends[k]] - ahead[-1]))
-                    g = is_gold[k] - expected
-                    if abs(g) < 1e-3:
-                        continue
-                    for f in fs:
-                        sq[f] = sq.get(f, 1.0) + g * g
-                        w[f] = w.get(f, 0.0) * 0.9995 + 0.5 * g / math.sqrt(sq[f])
-        model.weights = {f: v for f, v in w.items() if abs(v) > 1e-3}
+                    behind[p] = _log_sum([behind[p + 1], *(behind[ends[k]] + scores[k] for k in by_start[p])])
+                expected = np.exp(np.minimum(0.0, [ahead[s] + x + behind[e] - ahead[-1] for s, e, x in zip(starts, ends, scores)]))
+                g = is_gold - expected
+                g[np.abs(g) < 1e-3] = 0.0
+                if g.any():
+                    used, where = np.unique(flat, return_inverse=True)
+                    each = np.repeat(g, sizes)
+                    step, square = np.bincount(where, each), np.bincount(where, each * each)
+                    sq[used] += square
+                    w[used] = w[used] * np.where(square > 0, 0.9995, 1.0) + 0.5 * step / np.sqrt(sq[used])
+        model.weights = {f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-2}
         return model
 
 
@@ -355,8 +405,8 @@ def _log_sum(xs: list[float]) -> float:
     return m + math.log(sum(math.exp(x - m) for x in xs))
 
 
-def common_words(texts: list[DataFrame], sample: int = SAMPLE) -> frozenset[str]:
-    """Words that occur, not capitalised, in many of at most sample distinct texts per table (smallest hashes); given names are none."""
+def common_words(texts: list[DataFrame], sample: int = 5_000) -> dict[str, int]:
+    """Grades of frequency of the words that occur, not capitalised, in at most sample distinct texts per table (smallest hashes)."""
     count: Counter[str] = Counter()
     n = 0
     for df in texts:
@@ -365,8 +415,7 @@ def common_words(texts: list[DataFrame], sample: int = SAMPLE) -> frozenset[str]
         for r in some.collect():
             n += 1
             count.update({w for w in re.findall(r"[^\W\d_]+", r["t"]) if w.islower()})
-    least = max(COMMON_LEAST, COMMON_SHARE * n)
-    return frozenset(w for w, k in count.items() if k >= least and len(w) > 1) - _given()
+    return {w: sum(k >= x * n for x in SHARES) for w, k in count.items() if k >= max(LEAST_TEXTS, SHARES[0] * n) and len(w) > 1}
 
 
 class Remembering:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+import re
+from functools import cache
 
 # Given names used as a lexicon and for made-up persons (several are also common words).
 GIVEN = """abeni ada adam alan alice amara amy andrew anna anselm anya april aria ben bram brielle carlos carol chen claire corwin daisy
@@ -17,6 +19,9 @@ _MIDS = "a e i o un el en er ar ow il and ing or".split()
 _TAILS = "vane rith kamp wick quist ford by dell otti lund ska sley more ton nick ez son man berg well stead hurst ley ski ova ini".split()
 _TOWNS = "ham ville burg field mouth stead haven ford ton port".split()
 _STREETS = "street avenue road lane drive court place way close boulevard terrace".split()
+_ONSETS = "b bh c ch d dr f g gr h j k kh l m n p pr r s sh st t th tr v w y z".split()
+_VOWELS = "a e i o u ai ea ie ou".split()
+_CODAS = "f n l s m d k r th x sh ne lle ta na".split()
 _SHORT = ["St.", "Street", "Ave", "Avenue", "Rd", "Road", "Ln", "Lane", "Drive", "Court", "Blvd", "Place", "Way", "Dr"]
 _ONES = "zero one two three four five six seven eight nine".split()
 _TEENS = "ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
@@ -33,6 +38,13 @@ class Maker:
     def surname(self) -> str:
         return self.r.choice(_HEADS) + self.r.choice(_MIDS) * (self.r.random() < 0.8) + self.r.choice(_TAILS)
 
+    def given(self) -> str:
+        """A given name: of the lexicon, or made of syllables that are in no list of names."""
+        if self.r.random() < 0.5:
+            return self.r.choice(GIVEN)
+        parts = [self.r.choice(_ONSETS) + self.r.choice(_VOWELS) for _ in range(self.pick(1, 2, 2, 3))]
+        return "".join(parts) + self.r.choice(_CODAS)
+
     def town(self) -> str:
         return self.r.choice(_HEADS) + self.r.choice(_TOWNS)
 
@@ -70,12 +82,14 @@ class Maker:
         return _TENS[n // 10 - 2] + (f" {_ONES[n % 10]}" if n % 10 else "")
 
     # surface forms
-    def person(self, spoken: bool, full: float = 0.75) -> str:
-        g, s = self.r.choice(GIVEN), self.surname()
+    def person(self, spoken: bool, full: float = 0.65) -> str:
+        g, s = self.given(), self.surname()
+        if self.r.random() < 0.06:
+            s = f"{self.given()} {s}" if self.r.random() < 0.5 else f"{self.pick('van', 'de', 'al', 'von')} {s}"
         if spoken:
             k = self.r.random()
             return g if k < 1 - full else f"{g} {self.r.choice('abcdefghjklmnoprstw')} {s}" if k > 0.85 else f"{g} {s}"
-        g, s = g.capitalize(), s.capitalize()
+        g, s = g.capitalize(), s.title()
         k = self.r.random()
         if k < 0.2:
             return g
@@ -159,7 +173,7 @@ class Maker:
         spoken = self.r.random() < 0.45
         out: list[tuple[str, str | None]] = []
         for _ in range(self.pick(1, 1, 2, 2, 3, 4)):
-            frame = self.r.choice(SPOKEN if spoken else WRITTEN)
+            frame = self.shuffled(spoken) if self.r.random() < 0.3 else self.r.choice(SPOKEN if spoken else WRITTEN)
             if out:
                 out.append((" ", None))
             for piece in frame.split("|"):
@@ -170,9 +184,20 @@ class Maker:
                     out.append((made, None))
         return out
 
+    def shuffled(self, spoken: bool) -> str:
+        """A frame of words in no order, so that a person is also known where the sentence is not."""
+        words = _vocabulary()
+        some = lambda n: " ".join(self.r.choice(words) for _ in range(n))
+        before, after = some(self.r.randrange(0, 6)), some(self.r.randrange(0, 6))
+        middle = self.pick("<F>", "<F>", "<F>", some(2), "<co>", " ".join([self.surname()] * self.r.randrange(2, 6)))
+        frame = "|".join(x for x in (f"{before} " * bool(before), middle, f" {after}" * bool(after)) if x)
+        return frame if spoken else frame[:1].upper() + frame[1:] + self.pick(".", "?", "")
+
     def fill(self, piece: str, spoken: bool) -> str:
         if piece == "<P>":
             return self.person(spoken)
+        if piece == "<F>":  # in full
+            return f"{self.given()} {self.surname()}" if spoken else f"{self.given()} {self.surname()}".title()
         if piece == "<E>":
             return self.email(spoken)
         if piece == "<T>":
@@ -184,7 +209,7 @@ class Maker:
         if piece == "<SUR>":
             return self.surname() if spoken else self.surname().capitalize()
         if piece == "<G>":
-            return self.r.choice(GIVEN) if spoken else self.r.choice(GIVEN).capitalize()
+            return self.given() if spoken else self.given().capitalize()
         if piece == "<co>":
             return self.surname() if spoken else self.surname().capitalize()
         if piece.startswith("<0") or piece.startswith("<#"):
@@ -195,7 +220,7 @@ class Maker:
         return piece
 
 
-TYPES = {"<P>": "person", "<SUR>": "person", "<G>": "person", "<E>": "email", "<T>": "phone", "<I>": "identity_number", "<A>": "address"}
+TYPES = {"<P>": "person", "<F>": "person", "<SUR>": "person", "<G>": "person", "<E>": "email", "<T>": "phone", "<I>": "identity_number", "<A>": "address"}
 
 # Frames of made-up texts; <0..> and <#..> are numbers that identify no person, <co> is the name of a company or building.
 WRITTEN = """Patient: |<P>
@@ -415,3 +440,10 @@ i have faith in that plan""".split("\n")
 def training_texts(n: int, seed: int = 11) -> list[list[tuple[str, str | None]]]:
     maker = Maker(seed)
     return [maker.text() for _ in range(n)]
+
+
+@cache
+def _vocabulary() -> list[str]:
+    """Words of the frames, without those that announce what follows as personal."""
+    words = {w for frame in [*WRITTEN, *SPOKEN] for piece in frame.split("|") if not piece.startswith("<") for w in re.findall(r"[^\W\d_]{2,}", piece.lower())}
+    return sorted(words - set(GIVEN) - set("at dot dash underscore street".split()) - set(_ONES) - set(_TEENS) - set(_TENS))

@@ -171,3 +171,25 @@ def test_redacted_frame(spark, tagger):
     found = pii.find_personal(df, tagger).collect()
     assert sorted((r["row_id"], r["pii_text"]) for r in found) == [(1, "Lorcan Ruverdell")] * 2 + [(4, "ulla")]
     assert pii.find_personal(df.limit(0), tagger).count() == 0
+
+
+@pytest.mark.parametrize("text, want", [
+    ("this is kofi yarerkamp", ["kofi yarerkamp"]),
+    ("you are speaking with nomvula brisowquist today", ["nomvula brisowquist"]),
+    ("can i speak to tadhg hollanwick please", ["tadhg hollanwick"]),
+    ("the appeal was filed by bjorn kelenford yesterday", ["bjorn kelenford"]),
+    ("we close at nine", []),
+    ("i will check the status of the refund request", []),
+])
+def test_persons_outside_every_list(text, want):
+    """Names that are not in GIVEN, most in sentences that are no frame of the training texts; the sentences' other words are frequent."""
+    assert not {w for name in want for w in name.split()} & set(pii.GIVEN)
+    others = set(text.split()) - {w for name in want for w in name.split()}
+    model = _model_with(tuple(sorted(others)))
+    assert [text[a:b] for a, b, k in model.decode(text) if k == "person"] == want
+
+
+def _model_with(frequent, _models={}):
+    if not _models:
+        _models[0] = pii.SemiMarkov.train()
+    return pii.SemiMarkov(_models[0].weights, _models[0].common | dict.fromkeys(frequent, pii.COMMON_GRADE))

@@ -19,9 +19,9 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections import ChainMap, Counter
+from collections import ChainMap
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -405,17 +405,13 @@ def _log_sum(xs: list[float]) -> float:
     return m + math.log(sum(math.exp(x - m) for x in xs))
 
 
-def common_words(texts: list[DataFrame], sample: int = 5_000) -> dict[str, int]:
-    """Grades of frequency of the words that occur, not capitalised, in at most sample distinct texts per table (smallest hashes)."""
-    count: Counter[str] = Counter()
-    n = 0
-    for df in texts:
-        c = F.col(df.columns[0])
-        some = df.filter(c.isNotNull() & (c != "")).select(F.substring(c, 1, 4_000).alias("t")).withColumn("h", F.xxhash64("t")).groupBy("h").agg(F.first("t").alias("t")).orderBy("h").limit(sample)
-        for r in some.collect():
-            n += 1
-            count.update({w for w in re.findall(r"[^\W\d_]+", r["t"]) if w.islower()})
-    return {w: sum(k >= x * n for x in SHARES) for w, k in count.items() if k >= max(LEAST_TEXTS, SHARES[0] * n) and len(w) > 1}
+def common_words(texts: list[DataFrame]) -> dict[str, int]:
+    """Grades of frequency (1 .. len(SHARES)) of the words that occur, not capitalised, in at least SHARES[0] of all texts, each counted whole. At most the words of a text / SHARES[0] rows reach the driver."""
+    rows = reduce(DataFrame.unionByName, [df.select(F.col(df.columns[0]).alias("t")) for df in texts]).filter("t != ''")
+    words = rows.select(F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(r"(\p{L}{2,})")))).alias("w")).filter("w = lower(w)")
+    n = rows.count()
+    got = words.groupBy("w").count().filter(F.col("count") >= max(LEAST_TEXTS, SHARES[0] * n)).collect()
+    return {r["w"]: sum(r["count"] >= x * n for x in SHARES) for r in got}
 
 
 class Remembering:

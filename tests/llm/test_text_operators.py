@@ -193,3 +193,13 @@ def _model_with(frequent, _models={}):
     if not _models:
         _models[0] = pii.SemiMarkov.train()
     return pii.SemiMarkov(_models[0].weights, _models[0].common | dict.fromkeys(frequent, pii.COMMON_GRADE))
+
+
+def test_frequent_surname_is_found(spark, tagger):
+    """A surname that many texts name is still part of the name, and words are counted in whole texts and all of them."""
+    rows = [(f"my name is ulla ruvaquist {i}",) for i in range(50)] + [("x " * 3_000 + "lastword",)] * 3
+    grades = pii.common_words([spark.createDataFrame(rows, "text string")])
+    assert grades["ruvaquist"] == len(pii.SHARES) and grades["lastword"] == len(pii.SHARES)
+    model = pii.SemiMarkov(tagger.weights, tagger.common | grades)
+    text = "my name is ulla ruvaquist"
+    assert [text[a:b] for a, b, _ in model.decode(text)] == ["ulla ruvaquist"]

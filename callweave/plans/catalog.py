@@ -745,4 +745,4 @@ def acoustic_features(spark, d):
     from callweave.operators.acoustics import window_features
     from callweave.sources import synth
 
-    return window_features(synth.corpus(spark, 1).select("call_id", "wav"), hop_s=2.0)
+    return window_features(synth.corpus(spark, 3).select("call_id", "wav"), hop_s=0.5)

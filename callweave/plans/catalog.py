@@ -406,12 +406,26 @@ def hmm_filter(spark, d):
 def transfer_fsm(spark, d):
     h = hops(spark, d)
     e = table(spark, d, "telephony").filter("call_id IS NOT NULL AND t_s IS NOT NULL").select(F.lower(F.trim("call_id")).alias("call_id"), "t_s", timeseries.state_name(F.col("kind")).alias("kind"))
-    o = table(spark, d, "semantic_obs").filter("transfer_phrase_prob >= 0.5").select("call_id", "t_s", F.lit("phrase").alias("kind"))
-    near = timeseries.asof_flags(h.select("call_id", "t_s", "row_id", "state", "speaker_id", "confidence"), e.unionByName(o), "call_id", "t_s", {"leg": ("siplegchanged", "participantchanged"), "phrase": ("phrase",)}, within_s=3.0)
+    obs = table(spark, d, "semantic_obs").filter("call_id IS NOT NULL AND t_s IS NOT NULL")
+    o = obs.filter("transfer_phrase_prob >= 0.5").select("call_id", "t_s", F.lit("phrase").alias("kind"), F.lit(None).cast("double").alias("fail"))
+    score = text.phrase_score(text.normalize(F.col("text")), lexicon.TRANSFER_FAIL)
+    said = obs.filter("text IS NOT NULL").select("call_id", "t_s", F.lit("fail").alias("kind"), score.alias("fail")).filter("fail > 0")
+    rows = transfer_inputs(h, e, o.unionByName(said))
+    return sequence.transfer_events(rows)
+
+
+def transfer_inputs(h, carrier, spoken):
+    """Rows of transfer_events() from hops, carrier events (call_id, t_s, kind) and spoken phrases (call_id, t_s, kind 'phrase' or 'fail', fail score): what was said within 0.5 s before a hop counts for it, and a speaker is new at their first hop of the call."""
+    events = carrier.unionByName(spoken.select("call_id", "t_s", "kind"))
+    near = timeseries.asof_flags(h.select("call_id", "t_s", "row_id", "state", "speaker_id", "confidence"), events, "call_id", "t_s", {"leg": ("siplegchanged", "participantchanged"), "phrase": ("phrase",), "fail": ("fail",)}, within_s=3.0)
+    scores = spoken.filter("kind = 'fail'").groupBy("call_id", F.col("t_s").alias("last_fail_s")).agg(F.max("fail").alias("_fail"))
+    near = near.join(scores, ["call_id", "last_fail_s"], "left")
     w = timeseries.W.partitionBy("call_id").orderBy("t_s", "row_id")
+    first = F.row_number().over(timeseries.W.partitionBy("call_id", "speaker_id").orderBy("t_s", "row_id")) == 1
     run = near.withColumn("_n", F.coalesce((F.lag("state").over(w) != F.col("state")).cast("int"), F.lit(1))).withColumn("_t0", F.last(F.when(F.col("_n") == 1, F.col("t_s")), ignorenulls=True).over(w.rowsBetween(timeseries.W.unboundedPreceding, 0)))
-    rows = run.select("call_id", "row_id", "t_s", "state", "speaker_id", F.lit(False).alias("is_new"), F.when(F.col("phrase_recent") & (F.col("since_phrase_s") < 0.5), 0.9).otherwise(0.0).alias("transfer_phrase"), F.lit(0.0).alias("transfer_fail"), "confidence", F.col("leg_recent").alias("leg_changed"), (F.col("t_s") - F.col("_t0")).alias("dwell_s"))
-    return sequence.transfer_events(rows)
+    recent = lambda name: F.col(f"{name}_recent") & (F.col(f"since_{name}_s") < 0.5)
+    fail = F.when(recent("fail"), F.col("_fail")).otherwise(0.0)
+    return run.select("call_id", "row_id", "t_s", "state", "speaker_id", (F.col("speaker_id").isNotNull() & first).alias("is_new"), F.when(recent("phrase"), 0.9).otherwise(0.0).alias("transfer_phrase"), fail.alias("transfer_fail"), "confidence", F.col("leg_recent").alias("leg_changed"), (F.col("t_s") - F.col("_t0")).alias("dwell_s"))
 
 
 @query()

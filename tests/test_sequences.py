@@ -176,3 +176,17 @@ def test_interval_join_over_bins(spark):
     p, i = spark.createDataFrame(pts, "k string, t double"), spark.createDataFrame(iv, "k string, start double, end double, n long")
     got = sorted((x["k"], x["t"], x["n"]) for x in intervals.interval_join(p, i, ["k"], "t").collect())
     assert got == sorted((k, t, n) for k, t in pts for c, a, b, n in iv if c == k and a <= t < b)
+
+
+def test_transfer_denied_in_words(spark):
+    """A phrase that denies an announced transfer, heard within half a second before a hop, closes it as failed; a speaker is new once."""
+    from callweave.plans.catalog import transfer_inputs
+
+    hops = spark.createDataFrame([("c", i, i * 0.5, "human", "a" if i < 12 else "b", 0.9) for i in range(20)], "call_id string, row_id long, t_s double, state string, speaker_id string, confidence double")
+    carrier = spark.createDataFrame([], "call_id string, t_s double, kind string")
+    spoken = spark.createDataFrame([("c", 1.0, "phrase", None), ("c", 2.9, "fail", 0.75)], "call_id string, t_s double, kind string, fail double")
+    rows = transfer_inputs(hops, carrier, spoken)
+    assert [r["row_id"] for r in rows.filter("is_new").orderBy("row_id").collect()] == [0, 12]
+    assert [(r["t_s"], r["transfer_fail"]) for r in rows.filter("transfer_fail > 0").collect()] == [(3.0, 0.75)]
+    ends = [(r["t_s"], r["evidence"], r["outcome"]) for r in S.transfer_events(rows).filter("event_type = 'transfer_end'").collect()]
+    assert ends == [(3.0, "said not to happen", "failed")]

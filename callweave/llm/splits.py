@@ -17,6 +17,7 @@ key. Repeated label rows count as often as they occur. Empty input gives no rows
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -95,11 +96,11 @@ def profiles(members: DataFrame, record: str, labelled: DataFrame, labelled_reco
     )
 
 
-def place(counts: np.ndarray, size: np.ndarray, need: np.ndarray, need_size: np.ndarray) -> np.ndarray:
-    """Split numbers of components, in order of preference among equals; counts (n, labels), need (splits, labels), changed in place."""
+def place(counts: np.ndarray, size: np.ndarray, need: np.ndarray, need_size: np.ndarray, left: np.ndarray | None = None) -> np.ndarray:
+    """Split numbers of components, in order of preference among equals; counts (n, labels), need (splits, labels), changed in place. left: how much of each label there is in all, where these components are a part."""
     n = len(size)
     out = np.full(n, -1, np.int64)
-    left = counts.astype(float).sum(axis=0)
+    left = counts.astype(float).sum(axis=0) if left is None else left.copy()
     while True:
         open_ = [k for k in range(counts.shape[1]) if left[k] > 0]
         if not open_:
@@ -125,13 +126,16 @@ def assign_splits(profile: DataFrame, ratios: Sequence[float] = RATIOS, splits:
     """(component, split) for every component of profiles()."""
     width = len(LABELS) + 1
     profile = cut(profile.select("component", "records", "labels"))
-    totals = profile.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("records"), F.lit(0)).alias("records"), *[F.coalesce(F.sum(F.col("labels")[k]), F.lit(0)).alias(f"t{k}") for k in range(width)]).first()
+    totals = profile.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("records"), F.lit(0)).alias("records"), *[F.coalesce(F.sum(F.col("labels")[k]), F.lit(0)).alias(f"t{k}") for k in range(width)], *[F.count_if(F.col("labels")[k] > 0).alias(f"c{k}") for k in range(width)]).first()
     share = np.array(ratios, float)[:, None] / sum(ratios)
     need, need_size = share * np.array([totals[f"t{k}"] for k in range(width)], float), share[:, 0] * totals["records"]
     limit = totals["records"] / HEAVY
-    # more than 1/HEAVY of all records each, so fewer than HEAVY rows
-    heavy = sorted(profile.filter(F.col("records") > limit).collect(), key=lambda r: (-r["records"], r["component"])) if totals["n"] > HEAVY else []
-    taken = place(np.array([r["labels"] for r in heavy], float).reshape(-1, width), np.array([r["records"] for r in heavy], float), need, need_size) if heavy else []
+    blocks = max(1, -(-totals["n"] // BLOCK))
+    # with more than one block, one global pass takes the heavy components (fewer than HEAVY) and those of labels too rare for blocks (at most BLOCK a label)
+    rare = [k for k in range(width) if 0 < totals[f"c{k}"] <= BLOCK]
+    early = reduce(Column.__or__, [F.col("labels")[k] > 0 for k in rare], F.col("records") > limit)
+    heavy = sorted(profile.filter(early).collect(), key=lambda r: (-r["records"], r["component"])) if blocks > 1 else []
+    taken = place(np.array([r["labels"] for r in heavy], float).reshape(-1, width), np.array([r["records"] for r in heavy], float), need, need_size, need.sum(axis=0)) if heavy else []
     need, need_size = np.maximum(need, 0), np.maximum(need_size, 0)
     names = list(splits)
 
@@ -142,8 +146,7 @@ def assign_splits(profile: DataFrame, ratios: Sequence[float] = RATIOS, splits:
         got = place(counts, size, fraction(need) * counts.sum(axis=0), fraction(need_size) * size.sum())
         return pd.DataFrame({"component": frame["component"].to_numpy(), "split": [names[i] for i in got]})
 
-    light = profile.filter(F.col("records") <= limit) if totals["n"] > HEAVY else profile
-    blocks = max(1, -(-totals["n"] // BLOCK))
+    light = profile.filter(~early) if blocks > 1 else profile
     placed = light.withColumn("h", F.xxhash64("component")).groupBy(F.pmod(F.col("h"), F.lit(blocks)).alias("b")).applyInPandas(lambda frame: block(frame), "component string, split string")
     if heavy:
         placed = placed.unionByName(profile.sparkSession.createDataFrame([(r["component"], names[i]) for r, i in zip(heavy, taken)], "component string, split string"))

@@ -139,3 +139,14 @@ def test_consensus_edge_cases(spark):
 def test_special_functions():
     assert np.allclose(annotators.digamma(np.array([1.0, 0.5, 10.0])), [-0.5772156649, -1.9635100260, 2.2517525890])
     assert np.allclose(annotators.log_gamma(np.array([1.0, 5.0, 0.5])), [0.0, np.log(24), 0.5 * np.log(np.pi)])
+
+
+def test_rare_label_over_many_blocks_reaches_every_split(spark, monkeypatch):
+    monkeypatch.setattr(splits, "BLOCK", 100)
+    rows = [(f"k{i:05d}", 1, [1, 0, 0, 0, int(i % 150 == 0), 0]) for i in range(3000)]
+    got = splits.assign_splits(spark.createDataFrame(rows, "component string, records long, labels array<long>")).toPandas()
+    assert len(got) == 3000 and got["component"].is_unique
+    rare = got[got["component"].str[1:].astype(int) % 150 == 0]["split"].value_counts().to_dict()
+    assert rare == {"train": 16, "validation": 2, "test": 2}
+    share = got["split"].value_counts(normalize=True)
+    assert abs(share["train"] - 0.8) < 0.02 and abs(share["test"] - 0.1) < 0.02

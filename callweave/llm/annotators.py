@@ -87,7 +87,7 @@ def annotator_update(counts: np.ndarray, matrices: np.ndarray, weights: np.ndarr
 
 
 def community_update(counts: np.ndarray, resp: np.ndarray, config: CommunityConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Sums for the types' matrices (C, K, V) and weights (C); an annotator counts at most 10 * strength votes, so that the busiest don't speak for their type alone."""
+    """Sums for the types' matrices (C, K, V) and weights (C); an annotator counts at most 10 * strength * K votes, so that the busiest don't speak for their type alone."""
     total = counts.sum((1, 2), keepdims=True)
     capped = counts * np.minimum(1, 10 * config.strength * K / np.maximum(total, 1e-9))
     return np.einsum("nc,nkl->ckl", resp, capped), resp.sum(0)

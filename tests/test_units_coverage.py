@@ -135,3 +135,17 @@ def test_coverage_against_brute_force(spark):
     assert set(got) == want
     assert "d" not in {x[0] for x in got}  # its only segment lies outside
     assert interval_coverage(df.limit(0), ext, "call", "s", "e", "id", "dur").count() == 0
+
+
+def test_the_forest_decides(spark):
+    """A confident answer converts if it passes the exact check and else leaves the default; another forest gives other rows, an unsure one leaves them to the check and to review."""
+    rows = [(0, 1, "c", "x", 0, 0.0, 4.9, None, None, None, "ivr", 0.5), (1, 2, "c", "x", 0, 0.0, 290_000.0, None, None, None, "ivr", 0.5), (2, 3, "c", "x", 0, 0.0, 10.0, None, None, None, "ivr", 0.5)]
+    df, calls = raw(spark, rows), chunk_frame(spark, {"c": 300.0})
+    answers = lambda unit, confidence: lambda train, config: lambda asked: asked.withColumns({"proposed": F.lit(unit), "confidence": F.lit(confidence)})
+    found = lambda unit, confidence: {tuple(x) for x in units.foreign_unit_segments(df, calls, fit=answers(unit, confidence)).collect()}
+    assert found("min", 0.99) == {(1, 0, 0, 294_000)}
+    assert found("ms", 0.99) == {(2, 0, 0, 290_000)}
+    assert found("s", 0.99) == set()
+    assert found("s", 0.4) == {(1, 0, 0, 294_000), (2, 0, 0, 290_000)}
+    review = lambda unit, confidence: {x["result_id"] for x in units.units_for_review(df, calls, fit=answers(unit, confidence)).collect()}
+    assert review("min", 0.99) == {2, 3} and review("min", 0.4) == {1, 2, 3}

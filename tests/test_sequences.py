@@ -16,7 +16,7 @@ def play(script, cfg=S.TransferConfig(), close=True):
         for k in range(int(seconds / 0.5)):
             if state != before:
                 entered, before = t, state
-            out += S.transfer_step(s, t, state, speaker, new and k == 0, phrase * (k == 0), fail * (k == 0), 0.9, leg and k == 0, t - entered, cfg)
+            out += S.transfer_step(s, S.Hop(t, state, speaker, new and k == 0, phrase * (k == 0), fail * (k == 0), 0.9, leg and k == 0, t - entered), cfg)
             t += 0.5
     if close:
         out += S.transfer_close(s)
@@ -46,11 +46,20 @@ def test_transfer_details():
     events, s = play([seg("human", 4, "human_1", phrase=0.9), seg("hold", 6), seg("ivr", 0.5), seg("hold", 6)], close=False)
     assert s.phase == "in_progress" and not [e for e in events if e[0] == "transfer_end"]
     events, _ = play([seg("human", 3, "human_1", phrase=0.9), seg("human", 25, "human_1")], S.TransferConfig(announce_s=10))
-    assert [e[3] for e in events if e[0] == "transfer_end"] == ["nothing followed the announcement"]
+    assert [e[3] for e in events if e[0] == "transfer_end"] == ["no hold and nobody else in time"]
     events, _ = play([seg("human", 3, "human_1", leg=True)])
     assert "leg" in [e for e in events if e[0] == "transfer_start"][0][3]
 
 
+def test_transfer_rules_are_complete():
+    """Every rule names a known phase and condition; each phase can be left, and what closes has an outcome."""
+    phases = {r.phase for r in S.TRANSFER_RULES}
+    assert phases == {"idle", "announced", "in_progress"} and all(r.when in S.CONDITIONS and r.then in phases for r in S.TRANSFER_RULES)
+    assert all((r.outcome is not None) == (r.then == "idle") and (r.confidence is None or r.confidence in S.CONFIDENCES) for r in S.TRANSFER_RULES)
+    events, _ = play([seg("human", 4, "a", phrase=0.9), seg("hold", 5), seg("other", 260), seg("hold", 4)])
+    assert [(e[3], e[4]) for e in events if e[0] == "transfer_end"] == [("it took too long", "failed")]
+
+
 def test_filter_invariants():
     assert np.allclose(S.transition_matrix().sum(1), 1)
     f = S.Filter()
@@ -91,12 +100,12 @@ def test_segments_tile_the_call(spark):
 def test_registry():
     a, b = np.eye(4)[0], np.eye(4)[1]
     r = S.Registry()
-    assert S.registry_step(r, a)[::2] == (0, True)
-    assert S.registry_step(r, b)[::2] == (0, False)  # one window is not enough
-    assert S.registry_step(r, a)[::2] == (0, False)
-    S.registry_step(r, b)
-    assert S.registry_step(r, b)[::2] == (1, True)
-    assert S.registry_step(r, np.zeros(4)) == (1, 0.0, False)
+    assert r.observe(a)[::2] == (0, True)
+    assert r.observe(b)[::2] == (0, False)  # one window is not enough
+    assert r.observe(a)[::2] == (0, False)
+    r.observe(b)
+    assert r.observe(b)[::2] == (1, True)
+    assert r.observe(np.zeros(4)) == (1, 0.0, False)
 
 
 def test_silence_cuts():
@@ -189,4 +198,4 @@ def test_transfer_denied_in_words(spark):
     assert [r["row_id"] for r in rows.filter("is_new").orderBy("row_id").collect()] == [0, 12]
     assert [(r["t_s"], r["transfer_fail"]) for r in rows.filter("transfer_fail > 0").collect()] == [(3.0, 0.75)]
     ends = [(r["t_s"], r["evidence"], r["outcome"]) for r in S.transfer_events(rows).filter("event_type = 'transfer_end'").collect()]
-    assert ends == [(3.0, "said not to happen", "failed")]
+    assert ends == [(3.0, "it was said that there will be none", "failed")]

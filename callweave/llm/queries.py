@@ -19,6 +19,19 @@ def p1_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.recording_splits(table(spark, d, "chunks"), table(spark, d, "clips"))
 
 
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold for p1_splits: every recording with its chunks, in one split."""
+    return p1_splits(spark, d).groupBy("recording").agg(F.count(F.lit(1)).alias("chunks"), F.count_distinct("split").alias("splits"))
+
+
+def p1_components(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks related over any of source_call, source_file and audio_path, by contraction: the smallest chunk of each component."""
+    named = splits.recordings(table(spark, d, "chunks"))
+    got = splits.components(named, "chunk_id", ["source", "file", "audio"])
+    least = got.groupBy("component").agg(F.min("chunk_id").alias("first_chunk"))
+    return got.join(least, "component").select("chunk_id", "first_chunk")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return annotators.consensus(table(spark, d, "labeler_votes")).items.select("item_id", "label")
 
@@ -93,7 +106,7 @@ def p10_restored(spark: SparkSession, d: str) -> DataFrame:
     return garbled.restore_encoding(table(spark, d, "documents")).filter("garbled").select("doc_id", "restorable", "chains", "restored")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p2_found, p2_items, p2_labelers, p4_found, p5_found, p5_runs, p6_found, p6_redacted, p8_ids, p9_pack, p9_containers, p10_found, p10_restored)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_splits, p1_groups, p1_components, p2_found, p2_items, p2_labelers, p4_found, p5_found, p5_runs, p6_found, p6_redacted, p8_ids, p9_pack, p9_containers, p10_found, p10_restored)}
 
 _NAME_SQL = r"""nullif(regexp_replace(regexp_replace(trim(regexp_replace(lower(trim({0})), '^.*[/\\]', '')), '(?:\.(?:beeped|wav|mp3|mp4|m4a|flac|ogg|opus|aac)|\s*\(\d+\)|[\s_.-]+v\d+|[\s_.-]+(?:copy|export)(?:[\s_.-]*\d+)?)+$', ''), '[^\p{{L}}\p{{N}}]+', '', 'g'), '')"""
 _RUNS_SQL = r"""
@@ -112,6 +125,14 @@ tags AS (SELECT call_id, regexp_replace(lower(split_tag), '[^a-z0-9]+', '', 'g')
 canon AS (SELECT call_id, CASE WHEN t LIKE 'tr%' THEN 'train' WHEN t LIKE 'val%' OR t LIKE 'dev%' THEN 'validation' WHEN t IN ('test', 'tst') THEN 'test' ELSE t END AS tag FROM tags WHERE t <> ''),
 leaking AS (SELECT recording FROM named JOIN canon ON chunk_id = call_id GROUP BY recording HAVING count(DISTINCT tag) >= 2)
 SELECT chunk_id FROM named WHERE recording IN (SELECT recording FROM leaking)""",
+    "p1_groups": f"""
+SELECT recording, count(*) AS chunks, CAST(1 AS BIGINT) AS splits FROM (SELECT coalesce('k0:' || coalesce({_NAME_SQL.format('source_call')}, {_NAME_SQL.format('source_file')}), 'r:' || chunk_id) AS recording FROM chunks) GROUP BY 1""",
+    "p1_components": f"""
+WITH RECURSIVE named AS (SELECT chunk_id, {_NAME_SQL.format('source_call')} AS s, {_NAME_SQL.format('source_file')} AS f, {_NAME_SQL.format('audio_path')} AS a FROM chunks),
+keys AS (SELECT chunk_id, 's' || s AS k FROM named WHERE s IS NOT NULL UNION SELECT chunk_id, 'f' || f FROM named WHERE f IS NOT NULL UNION SELECT chunk_id, 'a' || a FROM named WHERE a IS NOT NULL),
+near AS (SELECT DISTINCT x.chunk_id AS u, y.chunk_id AS v FROM keys x JOIN keys y USING (k)),
+reach AS (SELECT chunk_id AS u, chunk_id AS v FROM named UNION SELECT reach.u, near.v FROM reach JOIN near ON reach.v = near.u)
+SELECT u AS chunk_id, min(v) AS first_chunk FROM reach GROUP BY 1""",
     "p4_found": r"""
 WITH legs AS (
   SELECT lower(trim(call_id)) AS c, CAST(round(t_s * 1000000) AS BIGINT) AS us, min(tel_id) AS tel_id FROM telephony

@@ -5,9 +5,9 @@ label vectors are aggregated per component; components with the rarest outstandi
 the split that needs that label most.
 
 Distribution: components are found by joining and aggregating (one key) or by alternating large-star and small-star
-steps with checkpoints (several keys). Components that hold more than 1/1000 of all records, at most 1,000 of them, are
-placed first by themselves; the others are placed in randomised blocks, each of which fills its share of what is still
-needed, so no task or driver ever holds all components.
+steps with checkpoints (several keys). There is one round per label; in each, the BLOCK components with most of the
+label are placed first, the others in range-sorted blocks, each of which fills its part of what is still needed, so no
+task or driver ever holds all components. The steps are the same at every size.
 
 Nulls and ties: a record without any key is a component of its own. Records without labels count by number only. Equal
 needs go to the split that needs more records, then to the first split; equal components are ordered by a hash of their
@@ -16,12 +16,12 @@ key. Repeated label rows count as often as they occur. Empty input gives no rows
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from callweave.session import cut
@@ -29,8 +29,8 @@ from callweave.session import cut
 SPLITS = ("train", "validation", "test")
 RATIOS = (0.8, 0.1, 0.1)
 LABELS = ("ivr", "human", "hold", "survey", "unknown")
-HEAVY = 1_000
-BLOCK = 20_000
+#: Components that are placed one after another, by the driver or a task.
+BLOCK = 10_000
 
 # Endings of a recording's name that a copy or an export adds.
 COPY_ENDING = r"(?:\.(?:beeped|wav|mp3|mp4|m4a|flac|ogg|opus|aac)|\s*\(\d+\)|[\s_.-]+v\d+|[\s_.-]+(?:copy|export)(?:[\s_.-]*\d+)?)+$"
@@ -96,61 +96,119 @@ def profiles(members: DataFrame, record: str, labelled: DataFrame, labelled_reco
     )
 
 
-def place(counts: np.ndarray, size: np.ndarray, need: np.ndarray, need_size: np.ndarray, left: np.ndarray | None = None) -> np.ndarray:
-    """Split numbers of components, in order of preference among equals; counts (n, labels), need (splits, labels), changed in place. left: how much of each label there is in all, where these components are a part."""
-    n = len(size)
-    out = np.full(n, -1, np.int64)
-    left = counts.astype(float).sum(axis=0) if left is None else left.copy()
+class Needs:
+    """How many records of each label, and in all, each split still needs. Splits beyond those asked for (of a split that is kept) need nothing."""
+
+    def __init__(self, labels: np.ndarray, size: np.ndarray):
+        self.labels, self.size = labels, size
+
+    @classmethod
+    def of(cls, totals: np.ndarray, records: float, share: np.ndarray) -> Needs:
+        return cls(share[:, None] * totals[None, :], share * records)
+
+    def part(self, totals: np.ndarray, records: float, share: np.ndarray) -> Needs:
+        """The needs of a block that holds so many records: its part of what is still needed, by the plain shares where nothing is needed any more."""
+        left, size = np.maximum(self.labels, 0), np.maximum(self.size, 0)
+        by_label = np.where(left.sum(0) > 0, left / np.maximum(left.sum(0), 1e-12), share[:, None])
+        return Needs(by_label * totals, (size / size.sum() if size.sum() > 0 else share) * records)
+
+    def place(self, counts: np.ndarray, size: np.ndarray, label: int | None) -> np.ndarray:
+        """Split numbers of components in the order given: each goes where its label, else any record, is needed most, then where records are, then to the first; needs change in place."""
+        out = np.empty(len(size), np.int64)
+        for i in range(len(size)):
+            want = self.size if label is None else self.labels[:, label]
+            best = np.flatnonzero(want == want.max())
+            out[i] = s = best[np.argmax(self.size[best])]
+            self.labels[s] -= counts[i]
+            self.size[s] -= size[i]
+        return out
+
+
+def label_order(by_mask: dict[int, np.ndarray]) -> list[int]:
+    """Labels from the rarest outstanding one on, given the label totals of the components by the bits of the labels they hold: once a label is served, its components are placed and no longer outstanding."""
+    order: list[int] = []
     while True:
-        open_ = [k for k in range(counts.shape[1]) if left[k] > 0]
+        left = sum((t for mask, t in by_mask.items() if not any(mask >> k & 1 for k in order)), np.zeros(len(LABELS) + 1))
+        open_ = [k for k in range(len(left)) if left[k] > 0]
         if not open_:
-            break
-        k = min(open_, key=lambda x: left[x])
-        todo = np.flatnonzero((out < 0) & (counts[:, k] > 0))
-        for i in todo[np.argsort(-counts[todo, k], kind="stable")]:
-            s = max(range(len(need_size)), key=lambda j: (need[j, k], need_size[j], -j))
-            out[i] = s
-            need[s] -= counts[i]
-            need_size[s] -= size[i]
-            left -= counts[i]
-        left[k] = 0
-    rest = np.flatnonzero(out < 0)
-    for i in rest[np.argsort(-size[rest], kind="stable")]:
-        s = int(np.argmax(need_size))
-        out[i] = s
-        need_size[s] -= size[i]
-    return out
-
-
-def assign_splits(profile: DataFrame, ratios: Sequence[float] = RATIOS, splits: Sequence[str] = SPLITS) -> DataFrame:
-    """(component, split) for every component of profiles()."""
-    width = len(LABELS) + 1
-    profile = cut(profile.select("component", "records", "labels"))
-    totals = profile.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("records"), F.lit(0)).alias("records"), *[F.coalesce(F.sum(F.col("labels")[k]), F.lit(0)).alias(f"t{k}") for k in range(width)], *[F.count_if(F.col("labels")[k] > 0).alias(f"c{k}") for k in range(width)]).first()
-    share = np.array(ratios, float)[:, None] / sum(ratios)
-    need, need_size = share * np.array([totals[f"t{k}"] for k in range(width)], float), share[:, 0] * totals["records"]
-    limit = totals["records"] / HEAVY
-    blocks = max(1, -(-totals["n"] // BLOCK))
-    # with more than one block, one global pass takes the heavy components (fewer than HEAVY) and those of labels too rare for blocks (at most BLOCK a label)
-    rare = [k for k in range(width) if 0 < totals[f"c{k}"] <= BLOCK]
-    early = reduce(Column.__or__, [F.col("labels")[k] > 0 for k in rare], F.col("records") > limit)
-    heavy = sorted(profile.filter(early).collect(), key=lambda r: (-r["records"], r["component"])) if blocks > 1 else []
-    taken = place(np.array([r["labels"] for r in heavy], float).reshape(-1, width), np.array([r["records"] for r in heavy], float), need, need_size, need.sum(axis=0)) if heavy else []
-    need, need_size = np.maximum(need, 0), np.maximum(need_size, 0)
-    names = list(splits)
-
-    def block(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["h", "component"], kind="stable")
-        counts, size = np.array(frame["labels"].tolist(), float).reshape(-1, width), frame["records"].to_numpy(float)
-        fraction = lambda x: np.where(x.sum(axis=0) > 0, x / np.maximum(x.sum(axis=0), 1e-12), share if x.ndim == 2 else share[:, 0])
-        got = place(counts, size, fraction(need) * counts.sum(axis=0), fraction(need_size) * size.sum())
-        return pd.DataFrame({"component": frame["component"].to_numpy(), "split": [names[i] for i in got]})
-
-    light = profile.filter(~early) if blocks > 1 else profile
-    placed = light.withColumn("h", F.xxhash64("component")).groupBy(F.pmod(F.col("h"), F.lit(blocks)).alias("b")).applyInPandas(lambda frame: block(frame), "component string, split string")
-    if heavy:
-        placed = placed.unionByName(profile.sparkSession.createDataFrame([(r["component"], names[i]) for r, i in zip(heavy, taken)], "component string, split string"))
-    return placed
+            return order
+        order.append(min(open_, key=lambda k: left[k]))
+
+
+def assign_splits(profile: DataFrame, ratios: Sequence[float] = RATIOS, splits: Sequence[str] = SPLITS, keep: bool = False) -> DataFrame:
+    """(component, split) for every component of profiles().
+
+    keep: a component whose tags name exactly one split stays there and only uses up that split's needs; the others are
+    placed. The same steps at every size: one round per label, from the rarest outstanding one on, and a last one for what
+    holds no label. In a round the BLOCK components with most of the label are placed one after another by the driver;
+    the others follow in range-sorted blocks of about BLOCK, each by its part of what the round still needs. So a rare
+    label is placed as a whole, and large components come before small ones.
+    """
+    width, names = len(LABELS) + 1, list(splits)
+    share = np.array(ratios, float) / sum(ratios)
+    mask = sum((F.when(F.col("labels")[k] > 0, 1 << k).otherwise(0) for k in range(width)), F.lit(0))
+    kept = F.when(F.size("tags") == 1, F.col("tags")[0]) if keep else F.lit(None).cast("string")
+    profile = cut(profile.select("component", "records", "labels", mask.alias("mask"), kept.alias("kept"), F.xxhash64("component").alias("h")))
+    sums = [F.sum("records").alias("records"), F.count(F.lit(1)).alias("n"), *[F.sum(F.col("labels")[k]).alias(f"t{k}") for k in range(width)]]
+    vector = lambda r: np.array([r[f"t{k}"] for k in range(width)], float)
+    # at most 2 ** width masks, with the few names of splits
+    cells = profile.groupBy("mask", F.when(F.col("kept").isin(*names), F.col("kept")).alias("kept"), F.col("kept").isNotNull().alias("stays")).agg(*sums).collect()
+    needs = Needs.of(sum((vector(r) for r in cells), np.zeros(width)), float(sum(r["records"] for r in cells)), share)
+    for r in cells:
+        if r["stays"] and r["kept"] is not None:
+            needs.labels[names.index(r["kept"])] -= vector(r)
+            needs.size[names.index(r["kept"])] -= r["records"]
+    asked = [r for r in cells if not r["stays"]]
+    order = label_order({r["mask"]: vector(r) for r in asked})
+    number = F.lit(len(order))
+    for i, k in reversed(list(enumerate(order))):
+        number = F.when(F.col("mask").bitwiseAND(1 << k) != 0, i).otherwise(number)
+    weight = F.lit(0)
+    for i, k in enumerate(order):
+        weight = F.when(F.col("round") == i, F.col("labels")[k]).otherwise(weight)
+    todo = profile.filter("kept IS NULL").withColumn("round", number).withColumn("weight", F.when(F.col("round") == len(order), F.col("records")).otherwise(weight))
+    # at most BLOCK components of each of the few rounds reach the driver
+    first = W.partitionBy("round").orderBy(F.desc("weight"), "h", "component")
+    tops = todo.withColumn("k", F.row_number().over(first)).filter(F.col("k") <= BLOCK).orderBy("round", "k").collect()
+    size_of = lambda i: sum(r["n"] for r in asked if next((j for j, k in enumerate(order) if r["mask"] >> k & 1), len(order)) == i)
+    done: list[tuple[str, str]] = []
+    out = profile.filter("kept IS NOT NULL").select("component", F.col("kept").alias("split"))
+    for i, label in enumerate([*order, None]):
+        top = [r for r in tops if r["round"] == i]
+        if top:
+            got = needs.place(np.array([r["labels"] for r in top], float), np.array([r["records"] for r in top], float), label)
+            done += [(r["component"], names[s]) for r, s in zip(top, got)]
+        blocks = -(-(size_of(i) - len(top)) // BLOCK)
+        if blocks > 0:
+            last = top[-1]
+            after = (F.col("weight") < last["weight"]) | ((F.col("weight") == last["weight"]) & ((F.col("h") > last["h"]) | ((F.col("h") == last["h"]) & (F.col("component") > last["component"]))))
+            rest = cut(_in_blocks(todo.filter((F.col("round") == i) & after), blocks, needs, share, label, names))
+            for r in rest.groupBy("split").agg(*sums).collect():
+                needs.labels[names.index(r["split"])] -= vector(r)
+                needs.size[names.index(r["split"])] -= r["records"]
+            out = out.unionByName(rest.select("component", "split"))
+    placed = profile.sparkSession.createDataFrame(done, "component string, split string")
+    return out.unionByName(placed)
+
+
+def _in_blocks(rest: DataFrame, blocks: int, needs: Needs, share: np.ndarray, label: int | None, names: list[str]) -> DataFrame:
+    """Places the components in range-sorted blocks; a block is one task's and holds about BLOCK components."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if parts:
+            block = pd.concat(parts)
+            counts, size = np.array(block["labels"].tolist(), float), block["records"].to_numpy(float)
+            got = needs.part(counts.sum(0), size.sum(), share).place(counts, size, label)
+            yield block.assign(split=[names[s] for s in got])[["component", "records", "labels", "split"]]
+
+    by = [F.desc("weight"), F.col("h"), F.col("component")]
+    return rest.repartitionByRange(blocks, *by).sortWithinPartitions(*by).select("component", "records", "labels").mapInPandas(run, "component string, records bigint, labels array<bigint>, split string")
+
+
+def recordings(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, source, file, audio): the recordings that a chunk's columns name."""
+    return chunks.select("chunk_id", *[recording_key(F.col(c)).alias(n) for c, n in (("source_call", "source"), ("source_file", "file"), ("audio_path", "audio"))])
 
 
 def recording_members(chunks: DataFrame) -> DataFrame:
@@ -159,15 +217,19 @@ def recording_members(chunks: DataFrame) -> DataFrame:
     return components(named, "chunk_id", ["recording"])
 
 
+def recording_profiles(members: DataFrame, clips: DataFrame) -> DataFrame:
+    return profiles(members, "chunk_id", clips, "call_id", F.coalesce("final_label", "label"), F.col("split_tag"))
+
+
 def recording_splits(chunks: DataFrame, clips: DataFrame) -> DataFrame:
     """(chunk_id, recording, split): a split for every chunk, one split per recording."""
     members = recording_members(chunks)
-    profile = profiles(members, "chunk_id", clips, "call_id", F.coalesce("final_label", "label"), F.col("split_tag"))
-    return members.join(assign_splits(profile), "component").select("chunk_id", F.col("component").alias("recording"), "split")
+    return members.join(assign_splits(recording_profiles(members, clips)), "component").select("chunk_id", F.col("component").alias("recording"), "split")
 
 
 def leaking_chunks(chunks: DataFrame, clips: DataFrame) -> DataFrame:
-    """p1_found: (chunk_id) of every chunk of a recording whose clips now carry two or more splits."""
+    """p1_found: (chunk_id) of every chunk of a recording with a clip that now is in another split than its recording is placed in. Recordings with one split keep it, so these are the recordings whose clips carry two or more."""
     members = recording_members(chunks)
-    profile = profiles(members, "chunk_id", clips, "call_id", F.coalesce("final_label", "label"), F.col("split_tag"))
-    return members.join(profile.filter(F.size("tags") >= 2), "component", "left_semi").select("chunk_id")
+    profile = cut(recording_profiles(members, clips))
+    moved = assign_splits(profile, keep=True).join(profile.select("component", "tags"), "component").filter(F.exists("tags", lambda t: t != F.col("split")))
+    return members.join(moved, "component", "left_semi").select("chunk_id")

@@ -7,9 +7,14 @@ Item labels, annotator types and all matrices are inferred by variational update
 A vote is seen as its class together with its bin of stated confidence, so a matrix also learns what an annotator's
 doubt is worth; confidences on scales of 5, 10 or 100 are brought to 1 by the annotator's largest value.
 
+The matrices of the types are updated by the fixed point of a Dirichlet-multinomial mean: an annotator with n votes of a
+kind counts like the expected number of distinct draws, strength * m * (digamma(n + strength * m) - digamma(strength * m)),
+which grows with the logarithm of n, so the busiest annotators do not speak for their type alone. No vote is left out.
+
 Distribution: votes become one row per item (an item has at most one vote per annotator), written once; a round is one
 pass over these rows that returns sums per (annotator, class, label). The annotators' matrices are sent to the tasks
-only up to MOST_BROADCAST annotators; beyond that they stay a table and are joined to the votes.
+while their size is within MOST_BROADCAST annotators; beyond that they stay a table and are joined to the votes. Start,
+updates and stopping rule are the same functions in both, so the labels are the same.
 
 Nulls and ties: a null label is an abstention; an annotator's last vote (time, then vote id) counts, so a last null vote
 withdraws earlier ones. Votes without item or annotator are left out. An item without any vote gets the most frequent
@@ -37,6 +42,10 @@ BINS = len(CONFIDENCE) + 2
 V = K * BINS
 #: Annotators whose matrices (K * V doubles each, 3 MB at most) may be sent to every task and summed on the driver.
 MOST_BROADCAST = 2_000
+#: What every class has of an item's first posterior besides its votes.
+FIRST = 1e-3
+#: Steps of the share of agreement by which types start.
+STEPS = 200
 
 
 @dataclass(frozen=True)
@@ -86,11 +95,41 @@ def annotator_update(counts: np.ndarray, matrices: np.ndarray, weights: np.ndarr
     return digamma(beta) - digamma(beta.sum(2, keepdims=True)), by_class(beta / beta.sum(2, keepdims=True)), resp
 
 
-def community_update(counts: np.ndarray, resp: np.ndarray, config: CommunityConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Sums for the types' matrices (C, K, V) and weights (C); an annotator counts at most 10 * strength * K votes, so that the busiest don't speak for their type alone."""
-    total = counts.sum((1, 2), keepdims=True)
-    capped = counts * np.minimum(1, 10 * config.strength * K / np.maximum(total, 1e-9))
-    return np.einsum("nc,nkl->ckl", resp, capped), resp.sum(0)
+def prior_means() -> np.ndarray:
+    """A type's mean matrix before any vote (K, V)."""
+    return community_means(np.zeros((1, K, V)), CommunityConfig())[0]
+
+
+def community_update(counts: np.ndarray, resp: np.ndarray, matrices: np.ndarray, config: CommunityConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Sums for the types' matrices (C, K, V) and weights (C) from annotators' expected counts (n, K, V)."""
+    prior = config.strength * matrices
+    sums = np.stack([(r[:, None, None] * p * (digamma(p + counts) - digamma(p))).sum(0) for r, p in zip(resp.T, prior)])
+    return sums, resp.sum(0)
+
+
+def first_types(counts: np.ndarray) -> np.ndarray:
+    """How often annotators agree with the first posterior, in STEPS steps; types start as quantiles of it."""
+    share = np.trace(by_class(counts), axis1=1, axis2=2) / np.maximum(counts.sum((1, 2)), 1e-9)
+    return np.minimum((STEPS * share + 1e-9).astype(int), STEPS - 1)
+
+
+def type_of_step(histogram: np.ndarray, config: CommunityConfig) -> np.ndarray:
+    """The type that annotators of each step of agreement start in, from the numbers of annotators by step."""
+    return np.minimum((np.r_[0, np.cumsum(histogram)[:-1]] * config.communities / max(1.0, histogram.sum())).astype(int), config.communities - 1)
+
+
+def first_sums(counts: np.ndarray, kind: np.ndarray, config: CommunityConfig) -> np.ndarray:
+    return community_update(counts, np.eye(config.communities)[kind[first_types(counts)]], np.repeat(prior_means()[None], config.communities, 0), config)[0]
+
+
+def class_prior(mass: np.ndarray) -> np.ndarray:
+    return np.log((mass + 1) / (mass + 1).sum())
+
+
+def settled(mass: np.ndarray, before: np.ndarray, sums: np.ndarray, sums_before: np.ndarray, config: CommunityConfig) -> bool:
+    """Whether neither the classes' expected numbers of items nor the types' sums moved by more than a small part."""
+    moved = lambda a, b: np.abs(a - b).sum() <= config.settled * max(1.0, np.abs(a).sum())
+    return moved(mass, before) and moved(sums, sums_before)
 
 
 def community_means(sums: np.ndarray, config: CommunityConfig) -> np.ndarray:
@@ -144,18 +183,9 @@ def consensus(votes: DataFrame, config: CommunityConfig = CommunityConfig(), mos
 
 
 def _start(last: DataFrame) -> DataFrame:
-    """(item_id, labeler, vote, q0..): vote shares of the item as first posterior."""
-    shares = last.groupBy("item_id").agg(*[(F.count_if(F.floor(F.col("vote") / BINS) == k) / F.greatest(F.count("vote"), F.lit(1))).alias(f"q{k}") for k in range(K)])
-    return shares
-
-
-def _initial_communities(counts: np.ndarray, config: CommunityConfig) -> tuple[np.ndarray, np.ndarray]:
-    """Types by quantiles of the annotators' agreement with the first posterior."""
-    total = np.maximum(counts.sum((1, 2)), 1e-9)
-    order = np.argsort(np.trace(by_class(counts), axis1=1, axis2=2) / total, kind="stable")
-    resp = np.zeros((len(counts), config.communities))
-    resp[order, np.arange(len(order)) * config.communities // max(1, len(order))] = 1
-    return community_means(community_update(counts, resp, config)[0], config), np.full(config.communities, 1 / config.communities)
+    """(item_id, q0..): first posterior of the items, their vote shares with a small share for every class."""
+    n = [F.count_if(F.floor(F.col("vote") / BINS) == k) + FIRST for k in range(K)]
+    return last.groupBy("item_id").agg(*[x.alias(f"q{k}") for k, x in enumerate(n)]).select("item_id", *[(F.col(f"q{k}") / sum(F.col(f"q{j}") for j in range(K))).alias(f"q{k}") for k in range(K)])
 
 
 def _broadcast_rounds(last: DataFrame, names: list[str], config: CommunityConfig) -> Consensus:
@@ -184,29 +214,29 @@ def _broadcast_rounds(last: DataFrame, names: list[str], config: CommunityConfig
         return total, mass
 
     def first(item, who, vote, size):
-        q = np.full((size, K), 1e-3)
+        q = np.full((size, K), FIRST)
         np.add.at(q, (item, vote // BINS), 1.0)
         return q / q.sum(1, keepdims=True)
 
     counts, mass = counts_of(first)
-    matrices, weights = _initial_communities(counts, config)
-    prior = np.log((mass + 1) / (mass + 1).sum())
-    log_matrix, resp = None, np.zeros((n, config.communities))
+    kind = type_of_step(np.bincount(first_types(counts), minlength=STEPS), config)
+    sums = first_sums(counts, kind, config)
+    matrices, weights = community_means(sums, config), np.full(config.communities, 1 / config.communities)
     for _ in range(config.most_rounds):
-        log_matrix, own, resp = annotator_update(counts, matrices, weights, config.strength)
-        sums, weight = community_update(counts, resp, config)
+        log_matrix, _, resp = annotator_update(counts, matrices, weights, config.strength)
+        before, sums_before = mass, sums
+        sums, weight = community_update(counts, resp, matrices, config)
         matrices, weights = community_means(sums, config), (weight + 1) / (weight + 1).sum()
-        shared = spark.sparkContext.broadcast((log_matrix, prior))
-        before = counts
+        shared = spark.sparkContext.broadcast((log_matrix, class_prior(mass)))
 
         def step(item, who, vote, size):
             m, p = shared.value
             return _posterior(item, m[who, :, vote], size, p)
 
         counts, mass = counts_of(step)
-        prior = np.log((mass + 1) / (mass + 1).sum())
-        if np.abs(counts - before).sum() <= config.settled * max(1.0, counts.sum()):
+        if settled(mass, before, sums, sums_before, config):
             break
+    prior = class_prior(mass)
     log_matrix, own, resp = annotator_update(counts, matrices, weights, config.strength)
     shared = spark.sparkContext.broadcast((log_matrix, prior))
 
@@ -230,7 +260,6 @@ def _joined_rounds(last: DataFrame, config: CommunityConfig) -> Consensus:
     """The same rounds with annotators as a table of their own: votes are joined to the annotators' matrices."""
     given = last.filter("vote IS NOT NULL")
     posterior = cut(_start(last))
-    matrices = weights = prior = None
     q_cols = [f"q{k}" for k in range(K)]
 
     def annotators(posterior: DataFrame) -> DataFrame:
@@ -258,20 +287,14 @@ def _joined_rounds(last: DataFrame, config: CommunityConfig) -> Consensus:
         return got["value"].to_numpy(float)
 
     people = annotators(posterior)
-    mass = np.array(posterior.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in q_cols]).first(), float)
-    # shares of agreement between 0 and 1, in steps, start the types as in the other way
-    steps = 200
-
-    def agreement(c: np.ndarray) -> np.ndarray:
-        return np.minimum((steps * np.trace(by_class(c), axis1=1, axis2=2) / np.maximum(c.sum((1, 2)), 1e-9)).astype(int), steps - 1)
-
-    histogram = summed(people, lambda c: np.bincount(agreement(c), minlength=steps).astype(float))
-    kind = np.minimum((np.r_[0, np.cumsum(histogram)[:-1]] * config.communities / max(1.0, histogram.sum())).astype(int), config.communities - 1)
-
-    def start(c: np.ndarray) -> np.ndarray:
-        return community_update(c, np.eye(config.communities)[kind[agreement(c)]], config)[0].ravel()
-
-    matrices, weights = community_means(summed(people, start).reshape(config.communities, K, V), config), np.full(config.communities, 1 / config.communities)
+    mass_of = lambda posterior: np.array(posterior.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in q_cols]).first(), float)
+    mass = mass_of(posterior)
+    histogram = summed(people, lambda c: np.bincount(first_types(c), minlength=STEPS).astype(float))
+    kind = type_of_step(histogram if len(histogram) else np.zeros(STEPS), config)
+    shape = (config.communities, K, V)
+    sums = summed(people, lambda c: first_sums(c, kind, config).ravel())
+    sums = sums.reshape(shape) if len(sums) else np.zeros(shape)
+    matrices, weights = community_means(sums, config), np.full(config.communities, 1 / config.communities)
     out_schema = "labeler string, n_votes double, community int, reliability double, m array<double>"
 
     def updated(people: DataFrame, matrices, weights, prior) -> tuple[DataFrame, np.ndarray]:
@@ -283,30 +306,35 @@ def _joined_rounds(last: DataFrame, config: CommunityConfig) -> Consensus:
                 yield pd.DataFrame({"labeler": b["labeler"], "n_votes": c.sum((1, 2)), "community": resp.argmax(1), "reliability": rel, "m": list(m.reshape(len(b), -1))})
 
         def cells(c: np.ndarray) -> np.ndarray:
-            return np.concatenate([x.ravel() for x in community_update(c, annotator_update(c, matrices, weights, config.strength)[2], config)])
+            return np.concatenate([x.ravel() for x in community_update(c, annotator_update(c, matrices, weights, config.strength)[2], matrices, config)])
 
         return people.mapInPandas(run, out_schema), summed(people, cells)
 
-    for _ in range(config.most_rounds):
-        prior = np.log((mass + 1) / (mass + 1).sum())
-        params, got = updated(people, matrices, weights, prior)
-        scored = given.join(params, "labeler").select("item_id", *[F.element_at("m", F.lit(k * V + 1) + F.col("vote")).alias(f"s{k}") for k in range(K)])
-        logs = scored.groupBy("item_id").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(K)])
+    def scored(params: DataFrame, prior: np.ndarray) -> DataFrame:
+        """Posteriors of all items from the annotators' matrices."""
+        votes = given.join(params.select("labeler", "m"), "labeler").select("item_id", *[F.element_at("m", F.lit(k * V + 1) + F.col("vote")).alias(f"s{k}") for k in range(K)])
+        logs = votes.groupBy("item_id").agg(*[F.sum(f"s{k}").alias(f"s{k}") for k in range(K)])
         full = last.select("item_id").distinct().join(logs, "item_id", "left").select("item_id", *[(F.coalesce(f"s{k}", F.lit(0.0)) + float(prior[k])).alias(f"s{k}") for k in range(K)])
         top = F.greatest(*[F.col(f"s{k}") for k in range(K)])
         raw = full.select("item_id", *[F.exp(F.col(f"s{k}") - top).alias(f"q{k}") for k in range(K)])
-        before, posterior = posterior, cut(raw.select("item_id", *[(F.col(c) / sum(F.col(x) for x in q_cols)).alias(c) for c in q_cols]))
-        s = got[: config.communities * K * V].reshape(config.communities, K, V)
-        w = got[config.communities * K * V :]
-        matrices, weights = community_means(s, config), (w + 1) / (w + 1).sum()
+        return cut(raw.select("item_id", *[(F.col(c) / sum(F.col(x) for x in q_cols)).alias(c) for c in q_cols]))
+
+    for _ in range(config.most_rounds):
+        params, got = updated(people, matrices, weights, class_prior(mass))
+        before, sums_before = mass, sums
+        if len(got):
+            sums, weight = got[: sums.size].reshape(shape), got[sums.size :]
+            matrices, weights = community_means(sums, config), (weight + 1) / (weight + 1).sum()
+        posterior = scored(params, class_prior(mass))
         people = annotators(posterior)
-        mass = np.array(posterior.agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in q_cols]).first(), float)
-        moved = posterior.join(before.select("item_id", *[F.col(c).alias(f"b{c}") for c in q_cols]), "item_id").agg(F.sum(sum(F.abs(F.col(c) - F.col(f"b{c}")) for c in q_cols))).first()[0] or 0.0
-        if moved <= config.settled * max(1.0, mass.sum()):
+        mass = mass_of(posterior)
+        if settled(mass, before, sums, sums_before, config):
             break
+    params, _ = updated(people, matrices, weights, class_prior(mass))
+    params = cut(params)
+    posterior = scored(params, class_prior(mass))
     best = F.expr("CASE " + " ".join(f"WHEN q{k} = top THEN {k}" for k in range(K)) + " END")
     picked = posterior.withColumn("top", F.greatest(*q_cols)).select("item_id", best.alias("best"), F.col("top").alias("posterior"))
     counted = last.join(picked, "item_id").groupBy("item_id").agg(F.first("best").alias("best"), F.first("posterior").alias("posterior"), F.count("vote").alias("n_votes"), F.count_if(F.floor(F.col("vote") / BINS) == F.col("best")).alias("with_best"))
     items = counted.select("item_id", F.element_at(F.array(*map(F.lit, CLASSES)), F.col("best") + 1).alias("label"), "posterior", F.when(F.col("n_votes") > 0, F.col("with_best") / F.col("n_votes")).alias("agreement"), "n_votes")
-    params, _ = updated(people, matrices, weights, np.log((mass + 1) / (mass + 1).sum()))
     return Consensus(items, params.select("labeler", "community", "reliability", F.round("n_votes").cast("bigint").alias("n_votes")))

@@ -122,9 +122,16 @@ def test_consensus_beats_majority_and_both_ways_agree(spark):
     rel = {r["labeler"]: r["reliability"] for r in a.labelers.collect()}
     assert rel["a00"] > rel["a04"] > rel["a08"] - 0.05
     b = annotators.consensus(v, most_broadcast=3)
-    other = {r["item_id"]: r["label"] for r in b.items.collect()}
-    assert np.mean([other[i] == got[i]["label"] for i in got]) > 0.97
-    assert b.labelers.count() == 9
+    other = {r["item_id"]: r for r in b.items.collect()}
+    assert {i: r["label"] for i, r in other.items()} == {i: r["label"] for i, r in got.items()}
+    assert all(abs(other[i][c] - got[i][c]) < 1e-6 for i in got for c in ("posterior", "agreement"))
+    same = {r["labeler"]: r for r in b.labelers.collect()}
+    assert len(same) == 9 and all(abs(same[w]["reliability"] - x) < 1e-6 for w, x in rel.items())
+    # agreement is the share of the item's votes that the label got; reliability follows the share of right votes, drawn to that of the type
+    share = {i: np.mean([x.strip().lower() == got[i]["label"] for x in ls]) for i, ls in majority.items()}
+    assert all(abs(got[i]["agreement"] - x) < 1e-9 for i, x in share.items())
+    right_votes = {w: np.mean([lab.strip().lower() == truth[i] for _, i, x, lab, _ in rows if x == w]) for w in rel}
+    assert np.corrcoef([rel[w] for w in sorted(rel)], [right_votes[w] for w in sorted(rel)])[0, 1] > 0.97
 
 
 def test_consensus_edge_cases(spark):

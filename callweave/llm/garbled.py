@@ -5,16 +5,23 @@ segments garbled through every encoding chain of CHAINS. It predicts the exact c
 with a non-ASCII character); the chain is inverted and must be strictly decodable and more plausible as clean text than
 what stood there. Replacement characters mark text whose loss cannot be undone: found, not restored.
 
-Distribution: the training sample is bounded (SAMPLE documents, taken by a hash of the text); the model has
-2 ** HASH_BITS weights per chain (about 5 MB) and goes to the workers with the task. Scanning is map only.
+Every chain within MARGIN of clean text is tried. What a segment as a whole does not explain is tried word by word, with
+every chain and the same strict check, so a garbled word among clean ones is found as well.
 
-Nulls: null and empty texts and pure ASCII texts are no cases. Texts of any length are read whole. Repeated rows are
-judged each by itself. With no usable training text nothing but replacement characters is found.
+Distribution: one pass over all texts, whole, counts the character pairs of all clean segments (a table of 2 ** PAIR_BITS
+cells, summed before and after the shuffle) and takes the sample on which the classifier is trained: the SEGMENTS distinct
+segments of smallest hash, of which every task sends at most SEGMENTS. The model has 2 ** HASH_BITS weights per chain
+and 2 ** PAIR_BITS for pairs (about 6 MB) and goes to the workers with the task. A second pass scans; it is map only.
+
+Nulls: null and empty texts and pure ASCII texts are no cases and are not sent to Python. Texts of any length are read
+whole. Repeated rows are judged each by itself. With no usable training text nothing but replacement characters is found.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -23,15 +30,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE = 4_000
+from callweave.session import cut
+
 HASH_BITS = 14
-#: Distinct clean segments (apart from digits) that are garbled for training.
+#: Distinct clean segments (apart from digits) that are garbled for training, at most.
 SEGMENTS = 5_000
 PAIR_BITS = 18
 #: Chains whose log likelihood is at most this far below clean text are still tried; the strict check decides.
 MARGIN = 5.0
 #: Plausibility (nats) that a restored segment must gain: per character pair and altogether; of chains from UTF-8 the least.
 GAIN_EACH, GAIN, GAIN_UTF8 = 1.0, 4.0, -0.5
+#: What a word by itself must gain altogether, of chains between encodings of one byte and of chains from UTF-8.
+GAIN_WORD, GAIN_WORD_UTF8 = 9.0, 0.0
+NON_ASCII = r"[^\x00-\x7f]"
 
 # Fixed values: (encoding the text was in, encoding it was read as), one pair per step.
 CHAINS: tuple[tuple[tuple[str, str], ...], ...] = (
@@ -51,7 +62,9 @@ CHAINS: tuple[tuple[tuple[str, str], ...], ...] = (
 )
 
 SEGMENT = re.compile(r"[^\n]*?(?:[.!?…](?=\s)|\n|$)\s*")
-HIGH = re.compile(r"[^\x00-\x7f]")
+HIGH = re.compile(NON_ASCII)
+WORD = re.compile(r"(\s+)")
+DIGIT = re.compile("[0-9]")
 
 
 @cache
@@ -142,20 +155,11 @@ class ChainClassifier:
         self.logs, self.pairs = logs, pairs
 
     @classmethod
-    def fit(cls, texts: list[str], most_segments: int = SEGMENTS) -> ChainClassifier | None:
-        """Counts of bigrams per class from clean segments and their synthetic garblings; segments that differ in digits only are made once and weighted."""
-        seen: dict[str, int] = {}
-        for t in texts:
-            for s in segments(t):
-                if HIGH.search(s):
-                    k = re.sub("[0-9]", "0", s.strip())
-                    if k in seen or len(seen) < most_segments:
-                        seen[k] = seen.get(k, 0) + 1
-        utf8 = [c for c in CHAINS if len(c) == 1 and c[0][0] == "utf-8"]
-        parts = [s for s in seen if "\ufffd" not in s and not any("\x80" <= c <= "\x9f" for c in s) and not any(decodes(s, c) for c in utf8)]
-        if not parts:
+    def fit(cls, seen: dict[str, int], pairs: dict[int, int] | None = None) -> ChainClassifier | None:
+        """seen: clean segments (digits made one) with how often they occur; pairs: counts of character pairs of all clean text by cell, of seen if they are not given."""
+        if not seen:
             return None
-        weights = np.array([seen[s] for s in parts], float)
+        parts, weights = list(seen), np.array(list(seen.values()), float)
 
         def count(texts: list[str], weights: np.ndarray) -> np.ndarray:
             code, owner = _bigrams(texts)
@@ -168,8 +172,12 @@ class ChainClassifier:
             if made:
                 counts[i + 1] = count([g for g, _ in made], np.array([w for _, w in made]))
         share = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-        code, owner = _pairs(parts)
-        n = np.bincount(code, weights[owner], 1 << PAIR_BITS)
+        n = np.zeros(1 << PAIR_BITS)
+        if pairs is None:
+            code, owner = _pairs(parts)
+            n += np.bincount(code, weights[owner], 1 << PAIR_BITS)
+        else:
+            n[list(pairs)] = list(pairs.values())
         return cls(np.log(share + 1e-6).astype(np.float32), np.log((n + 0.02) / (n.sum() + 1)).astype(np.float32))
 
     def scores(self, parts: list[str]) -> np.ndarray:
@@ -193,64 +201,128 @@ def decodes(text: str, chain: tuple[tuple[str, str], ...]) -> bool:
     return got is not None and got != text
 
 
-def repair(parts: list[str], model: ChainClassifier) -> list[tuple[int, str] | None]:
-    """For segments: number of the chain and restored segment, None for clean ones. A segment only partly garbled is repaired word by word."""
-    scores = model.scores([p.strip() for p in parts])
-    before = model.plausible([p.strip() for p in parts])
-    out: list[tuple[int, str] | None] = [None] * len(parts)
-    todo: list[tuple[int, int, str]] = []
-    for i in np.flatnonzero(scores[:, 1:].max(1) > scores[:, 0] - MARGIN):
-        order = [int(k) for k in np.argsort(-scores[i, 1:])[:6] if scores[i, k + 1] > scores[i, 0] - MARGIN]
-        tried = [(i, k, got) for k in order if (got := restore(parts[i], CHAINS[k])) is not None and got != parts[i]]
-        if not tried:
-            for k in order[:3]:
-                if CHAINS[k][0][0] == "utf-8":
-                    words = re.split(r"(\s+)", parts[i])
-                    back = [r if HIGH.search(w) and (r := restore(w, CHAINS[k])) is not None else w for w in words]
-                    if back != words:
-                        tried.append((i, k, "".join(back)))
-        todo.extend(tried)
-    if not todo:
-        return out
-    after = model.plausible([t.strip() for _, _, t in todo])
+def _tried(parts: list[str], model: ChainClassifier) -> list[tuple[int, int, str, float]]:
+    """(part, chain, restored text, gain in plausibility) of every chain that is likely enough and inverts strictly."""
+    scores, before = model.scores([p.strip() for p in parts]), model.plausible([p.strip() for p in parts])
+    i, k = np.nonzero(scores[:, 1:] > scores[:, :1] - MARGIN)
+    todo = [(int(i), int(k), got) for i, k in zip(i, k) if (got := restore(parts[i], CHAINS[k])) is not None and got != parts[i]]
+    after = model.plausible([t.strip() for _, _, t in todo]) if todo else []
+    return [(i, k, text, float(now - before[i])) for (i, k, text), now in zip(todo, after)]
+
+
+def _best(parts: list[str], tried: list[tuple[int, int, str, float]], least: float, least_utf8: float) -> dict[int, tuple[int, str]]:
+    """Of what was tried on each part, the chain that gains most and enough; least: the gain needed altogether, of chains from UTF-8 per pair."""
     gains: dict[int, float] = {}
-    for (i, k, text), now in zip(todo, after):
-        gain = float(now - before[i])
-        high = len(HIGH.findall(parts[i]))
+    out: dict[int, tuple[int, str]] = {}
+    for i, k, text, gain in tried:
         # a strict decoding of UTF-8 is strong evidence by itself; one byte fits any other
-        enough = gain > GAIN_UTF8 if CHAINS[k][0][0] == "utf-8" else gain >= GAIN_EACH and gain * high >= GAIN
+        enough = gain > least_utf8 if CHAINS[k][0][0] == "utf-8" else gain >= GAIN_EACH and gain * len(HIGH.findall(parts[i])) >= least
         if enough and gain > gains.get(i, -1e9) + 1e-6:
             gains[i], out[i] = gain, (k, text)
     return out
 
 
+def repair(parts: list[str], model: ChainClassifier) -> list[tuple[list[int], str] | None]:
+    """For segments: the numbers of the chains and the restored segment, None for clean ones. A segment that no chain explains as a whole is repaired word by word."""
+    whole = _best(parts, _tried(parts, model), GAIN, GAIN_UTF8)
+    out: list[tuple[list[int], str] | None] = [([whole[i][0]], whole[i][1]) if i in whole else None for i in range(len(parts))]
+    split = {i: WORD.split(p) for i, p in enumerate(parts) if i not in whole}
+    # a segment of one word was tried already; equal words are tried once
+    words = list(dict.fromkeys(w for ws in split.values() if sum(bool(w.strip()) for w in ws) > 1 for w in ws if HIGH.search(w)))
+    if not words:
+        return out
+    fixed = {words[j]: got for j, got in _best(words, _tried(words, model), GAIN_WORD, GAIN_WORD_UTF8).items()}
+    for i, ws in split.items():
+        found = [fixed[w] for w in ws if w in fixed]
+        if found and len([w for w in ws if w.strip()]) > 1:
+            out[i] = (sorted({k for k, _ in found}), "".join(fixed[w][1] if w in fixed else w for w in ws))
+    return out
+
+
 def scan(texts: list[str], model: ChainClassifier | None) -> list[tuple[bool, bool, str, str]]:
     """Per text: garbled, restorable (nothing lost), the chains found, the text with garbled segments restored."""
-    cut = [segments(t) if t and HIGH.search(t) else [] for t in texts]
-    flat = [(i, j) for i, parts in enumerate(cut) for j, s in enumerate(parts) if HIGH.search(s)]
-    found = repair([cut[i][j] for i, j in flat], model) if model and flat else [None] * len(flat)
+    pieces = [segments(t) if t and HIGH.search(t) else [] for t in texts]
+    flat = [(i, j) for i, parts in enumerate(pieces) for j, s in enumerate(parts) if HIGH.search(s)]
+    found = repair([pieces[i][j] for i, j in flat], model) if model and flat else [None] * len(flat)
     chains: list[set[int]] = [set() for _ in texts]
     for (i, j), got in zip(flat, found):
         if got is not None:
-            chains[i].add(got[0])
-            cut[i][j] = got[1]
+            chains[i].update(got[0])
+            pieces[i][j] = got[1]
     out = []
-    for t, parts, ks in zip(texts, cut, chains):
+    for t, parts, ks in zip(texts, pieces, chains):
         lost = bool(t) and "�" in t
         names = sorted(" ".join(f"{a}>{b}" for a, b in CHAINS[k]) for k in ks) + ["lost"] * lost
         out.append((bool(ks) or lost, bool(ks) and not lost, ", ".join(names), "".join(parts) if ks else t))
     return out
 
 
-def training_texts(documents: DataFrame, text: str, sample: int) -> list[str]:
-    """At most sample texts with a non-ASCII character, by the smallest hashes; of texts of over 20,000 characters the model's sample takes the beginning."""
-    some = documents.filter(F.col(text).rlike(r"[^\x00-\x7f]")).select(F.substring(F.col(text), 1, 20_000).alias("t"), F.xxhash64(text).alias("h"))
-    return [r["t"] for r in some.orderBy("h").limit(sample).collect()]
+_UTF8 = [c for c in CHAINS if len(c) == 1 and c[0][0] == "utf-8"]
+
+
+def clean(segment: str) -> bool:
+    """Whether a segment may be trained on: nothing lost, no control characters, no UTF-8 read as something else."""
+    return "\ufffd" not in segment and not any("\x80" <= c <= "\x9f" for c in segment) and not any(decodes(segment, c) for c in _UTF8)
+
+
+def key_of(segment: str) -> int:
+    return int.from_bytes(hashlib.blake2b(segment.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+class Survey:
+    """What a task learns of clean text: counts of the character pairs of all segments, and the distinct segments of smallest key with their counts."""
+
+    def __init__(self, most: int = SEGMENTS):
+        self.most, self.pairs = most, np.zeros(1 << PAIR_BITS, np.int64)
+        self.kept: dict[str, tuple[int, int]] = {}
+        self.limit = 1 << 63
+
+    def add(self, texts: list[str | None]) -> None:
+        found = Counter(DIGIT.sub("0", s.strip()) for t in texts if t for s in segments(t) if HIGH.search(s))
+        good = {s: n for s, n in found.items() if s in self.kept or clean(s)}
+        if not good:
+            return
+        code, owner = _pairs(list(good))
+        self.pairs += np.bincount(code, np.array(list(good.values()), float)[owner], 1 << PAIR_BITS).astype(np.int64)
+        for s, n in good.items():
+            key, before = self.kept.get(s) or (key_of(s), 0)
+            if key < self.limit:
+                self.kept[s] = (key, before + n)
+        if len(self.kept) > 2 * self.most:
+            self.shrink()
+
+    def shrink(self) -> None:
+        """Keep the smallest keys. What is left out has a larger key than all that is kept, so counts of what is kept are whole."""
+        self.kept = dict(sorted(self.kept.items(), key=lambda x: (x[1][0], x[0]))[: self.most])
+        if len(self.kept) == self.most:
+            self.limit = max(k for k, _ in self.kept.values())
+
+    def rows(self) -> pd.DataFrame:
+        self.shrink()
+        cells = np.flatnonzero(self.pairs)
+        keys, counts = [k for k, _ in self.kept.values()], [n for _, n in self.kept.values()]
+        return pd.DataFrame({"cell": [*cells, *[-1] * len(keys)], "key": [*[0] * len(cells), *keys], "segment": [*[""] * len(cells), *self.kept], "n": [*self.pairs[cells], *counts]})
+
+
+def fit_model(documents: DataFrame, text: str = "text", most: int = SEGMENTS) -> ChainClassifier | None:
+    """The classifier, trained on at most `most` distinct segments, with the pair counts of all clean text. At most 2 ** PAIR_BITS cells and `most` segments reach the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        survey = Survey(most)
+        for batch in batches:
+            survey.add(batch["t"].tolist())
+        yield survey.rows()
+
+    rows = documents.filter(F.col(text).rlike(NON_ASCII)).select(F.col(text).alias("t")).mapInPandas(run, "cell bigint, key bigint, segment string, n bigint")
+    got = cut(rows.groupBy("cell", "key", "segment").agg(F.sum("n").alias("n")))
+    pairs = {r["cell"]: r["n"] for r in got.filter("cell >= 0").select("cell", "n").collect()}
+    seen = {r["segment"]: r["n"] for r in got.filter("cell < 0").orderBy("key", "segment").limit(most).collect()}
+    return ChainClassifier.fit(seen, pairs)
 
 
-def restore_encoding(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, garbled, restorable, chains, restored) for every document with a text."""
-    model = ChainClassifier.fit(training_texts(documents, text, sample))
+def restore_encoding(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = SEGMENTS) -> DataFrame:
+    """(doc_id, garbled, restorable, chains, restored) for every document with a non-ASCII character; the others cannot be garbled."""
+    model = fit_model(documents, text, most)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -259,10 +331,10 @@ def restore_encoding(documents: DataFrame, doc_id: str = "doc_id", text: str = "
                 got = scan(part["text"].tolist(), model)
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), **{n: [g[k] for g in got] for k, n in enumerate(("garbled", "restorable", "chains", "restored"))}})
 
-    rows = documents.filter(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows = documents.filter(F.col(text).rlike(NON_ASCII)).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInPandas(run, "doc_id bigint, garbled boolean, restorable boolean, chains string, restored string")
 
 
 def garbled_documents(documents: DataFrame) -> DataFrame:
-    """p10_found: (doc_id) of every garbled document; texts without a non-ASCII character are not sent to Python."""
-    return restore_encoding(documents.filter(F.col("text").rlike(r"[^\x00-\x7f]"))).filter("garbled").select("doc_id").distinct()
+    """p10_found: (doc_id) of every garbled document, once; only the ids of garbled documents are shuffled."""
+    return restore_encoding(documents).filter("garbled").select("doc_id").distinct()

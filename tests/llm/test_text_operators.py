@@ -89,7 +89,10 @@ def clean_texts(n, seed=0):
 
 @pytest.fixture(scope="module")
 def detector():
-    return garbled.ChainClassifier.fit(clean_texts(800))
+    survey = garbled.Survey()
+    survey.add(clean_texts(800))
+    rows = survey.rows()
+    return garbled.ChainClassifier.fit(dict(rows[rows["cell"] < 0][["segment", "n"]].to_numpy()), dict(rows[rows["cell"] >= 0][["cell", "n"]].to_numpy()))
 
 
 def test_round_trips(detector):

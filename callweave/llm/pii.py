@@ -2,16 +2,15 @@
 
 Method: a semi-Markov conditional random field. Candidate segments of bounded length are proposed for every type; whole-
 span features (form, digit groups, lexicon, case, the words around it) score them, and dynamic programming over the
-text chooses boundaries and types jointly. The weights are trained here on made-up texts by the log likelihood of the
-whole segmentation (forward-backward); nothing of the corpus is labelled. How often a word occurs in the corpus is a
+text chooses boundaries and types jointly. The weights are trained here on texts made up by a grammar (pii_training) by
+the log likelihood of the whole segmentation (forward-backward); nothing of the corpus is labelled. How often a word occurs in the corpus is a
 feature: it removes no candidate. Nor does the list of given names: every word, and every two or three words side by side,
 may be a person.
 
 Distribution: map only; the weights (some thousand numbers) go with the task. A worker remembers the last texts it has
 seen, so that texts sent again are decoded once.
 
-Nulls: null and empty texts hold nothing and stay as they are. Texts of any length are read whole, in windows that end
-at blanks between candidates. A piece is reported once per row and surface form; repeated rows are reported each.
+Nulls: null and empty texts hold nothing and stay as they are. Texts of any length are decoded whole. A piece is reported once per row and surface form; repeated rows are reported each.
 """
 
 from __future__ import annotations
@@ -28,13 +27,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.pii_training import GIVEN, SPOKEN, WRITTEN, training_texts
+from callweave.llm.pii_training import GIVEN, PARTICLES, company_words, frame_words, training_texts
 
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "identity_number": "[ID]", "address": "[ADDRESS]", "person": "[NAME]"}
 #: Shares of all texts at which a word's grade of frequency rises, the grade from which it is of class k, and the texts that it must occur in at least.
 SHARES, COMMON_GRADE, LEAST_TEXTS = (0.0001, 0.0005, 0.002, 0.01), 3, 3
-#: In training, the share of other words whose frequency is taken as unknown, and of names' words that are taken as frequent.
-UNKNOWN, FREQUENT = 0.03, 0.06
+#: In training, the share of other words whose frequency is taken as unknown; the share of texts whose names are of persons named often, and the share of names' words that are then, and else, taken as frequent.
+UNKNOWN, NAMED_OFTEN, FREQUENT = 0.05, 0.5, (0.8, 0.1)
+#: The share of training texts of which the words around candidates are hidden, so that their own form must tell.
+BLIND = 0.3
+AROUND = re.compile(r"\|(?:l1|l2|near|r1|r2)=| l1=|\|l=")
 TRAINING_TEXTS, EPOCHS = 5_000, 5
 
 # Words for spoken digits, streets, units and titles.
@@ -66,26 +68,19 @@ SENTENCE_END = ".?!;:\n]"
 def _classes() -> dict[str, str]:
     out = {w: "z" for w in ONES} | {w: "t" for w in TEENS} | {w: "y" for w in TENS} | {"double": "b", "triple": "b"}
     out |= {w: "S" for w in STREETS} | {w: "u" for w in ("unit", "apartment", "apt", "flat", "suite")} | {w: "T" for w in TITLES}
+    out |= {w: "v" for w in PARTICLES}
     out |= {"at": "a", "dot": "o", "underscore": "_", "dash": "-", "hyphen": "-", "plus": "+"}
     return out
 
 
-@cache
-def _template_words() -> frozenset[str]:
-    words = set()
-    for frame in [*WRITTEN, *SPOKEN]:
-        words |= {w.lower() for piece in frame.split("|") if not piece.startswith("<") for w in re.findall(r"[^\W\d_]+", piece)}
-    return frozenset(words)
-
-
 SPOKEN_NUMBER = re.compile(r"i{0,2}(?:[ztyb]){3,}")
-SPOKEN_ADDRESS = re.compile(r"(?:n|[zty]{1,4})[wGCUk]{1,2}[ST](?:u(?:n|[zty]{1,2}))?")
+SPOKEN_ADDRESS = re.compile(r"(?:n|[zty]{1,4})[wGCUkv]{1,2}[ST](?:u(?:n|[zty]{1,2}))?")
 SPOKEN_DOMAIN = re.compile(r"a([wGkCUi]{1,2}(?:-[wGkCUi])*(?:o[wGkCUi])+)")
 SPOKEN_LOCAL = [("pair", re.compile(r"[wGCUk][o_\-+][wGCUk]$")), ("chain", re.compile(r"[wGCUki](?:[o_\-+][wGCUki]){2,3}$")), ("initial", re.compile(r"i[wGCUk](?:[ztyn]{1,3})?$")), ("word", re.compile(r"[wGCUk](?:[ztyn]{1,3})?$"))]
 
 
 class Text:
-    """Tokens of a text with classes: z t y b spoken numbers, n digits, i single letter, G given name, C capitalised, U upper case, k common word, w other word."""
+    """Tokens of a text with classes: z t y b spoken numbers, n digits, i single letter, G given name, C capitalised, U upper case, k common word, v particle of a name, w other word."""
 
     def __init__(self, text: str, common: dict[str, int]):
         self.text = text
@@ -97,7 +92,7 @@ class Text:
         cls = []
         for w, l, g in zip(self.words, self.low, self.grade):
             if not w[0].isalnum():
-                cls.append(w if w in ",.()-#:;/'@" else "~")
+                cls.append("'" if w == "’" else w if w in ",.()-#:;/'@" else "~")
             elif w[0].isdigit():
                 cls.append("n")
             elif l in known:
@@ -106,7 +101,7 @@ class Text:
                 cls.append("i")
             elif l in given:
                 cls.append("G")
-            elif g >= COMMON_GRADE or l in MONTHS_DAYS:
+            elif g >= COMMON_GRADE or l in MONTHS_DAYS or l[:-1] in MONTHS_DAYS:
                 cls.append("k")
             elif w.isupper():
                 cls.append("U")
@@ -149,6 +144,30 @@ def _digits_said(cls: str, low: list[str]) -> int:
     return n
 
 
+def digits_of(t: Text, i: int, j: int) -> str:
+    """The digits of tokens i..j-1, written or said."""
+    out, k = "", i
+    while k < j:
+        c, w = t.cls[k], t.low[k]
+        if c == "n":
+            out += w
+        elif c == "z":
+            out += "0" if w == "oh" else str(ONES.index(w) - (ONES.index(w) > 1))
+        elif c == "t":
+            out += str(10 + TEENS.index(w))
+        elif c == "y":
+            ten = 2 + TENS.index(w)
+            one = k + 1 < j and t.cls[k + 1] == "z" and t.low[k + 1] not in ("zero", "oh")
+            out += str(ten) + (str(ONES.index(t.low[k + 1]) - 1) if one else "0")
+            k += one
+        elif c == "b" and k + 1 < j and t.cls[k + 1] == "z":
+            w2 = t.low[k + 1]
+            out += ("0" if w2 == "oh" else str(ONES.index(w2) - (ONES.index(w2) > 1))) * (2 if w == "double" else 3)
+            k += 1
+        k += 1
+    return out
+
+
 def candidates(t: Text) -> list[tuple[int, int, str, str]]:
     """(start, end, type, form) of possible pieces."""
     text, cls, spans, low = t.text, t.cls, t.spans, t.low
@@ -200,7 +219,8 @@ def candidates(t: Text) -> list[tuple[int, int, str, str]]:
         for m in ADDRESS.finditer(text):
             a, b = m.span()
             kind = "flat" if m["flat"] else "before" if not text[a].isdigit() else "after" if STREET_LAST.search(m[0]) else "rue"
-            out.add((a, b, "address", f"{kind}{' town' if m['town'] else ''}{' zip' if m['zip'] else ''}"))
+            town = "" if not m["town"] else " town" if m["town"].split()[-1][0].isupper() else " word"
+            out.add((a, b, "address", f"{kind}{town}{' zip' if m['zip'] else ''}"))
             if m["town"] and not m["zip"]:
                 out.add((a, m.start("town"), "address", f"{kind} cut"))
         for m in SPOKEN_ADDRESS.finditer(cls):
@@ -220,9 +240,14 @@ def candidates(t: Text) -> list[tuple[int, int, str, str]]:
             out.add((p, spans[i][1], "person", f"{c}{' title' if after_title else ''}"))
             for name, pattern in PERSON:
                 m = pattern.match(cls, i)
-                if m and _tight(text, spans, i, m.end()):
+                if m and _tight(text, spans, i, m.end()) and not (name == "middle" and t.words[i + 1] in ("i", "a")):  # words of their own
                     out.add((p, spans[m.end() - 1][1], "person", f"{name} {m[0]}{' title' if after_title else ''}"))
-        elif c == "i" and t.words[i].isupper():
+        elif c in "iv" and (c == "i" or after_title):
+            for pattern in FAMILY:
+                m = pattern.match(cls, i)
+                if m and _tight(text, spans, i, m.end()):
+                    out.add((spans[i][0], spans[m.end() - 1][1], "person", f"family {m[0]}{' title' if after_title else ''}"))
+        if c == "i" and t.words[i].isupper():
             for pattern in INITIAL:
                 m = pattern.match(cls, i)
                 if m and _tight(text, spans, i, m.end()):
@@ -230,8 +255,10 @@ def candidates(t: Text) -> list[tuple[int, int, str, str]]:
     return sorted(out, key=lambda x: (x[1], x[0]))
 
 
-PERSON = [("two", re.compile(r"[GCUwk]{2}")), ("three", re.compile(r"[GCUwk]{3}")), ("middle", re.compile(r"[GCUwk]i\.?[GCUwk]")), ("last first", re.compile(r"[GCUwk],[GCUwk]")), ("two last first", re.compile(r"[GCUwk]{2},[GCUwk]")), ("dashed", re.compile(r"[GCUwk]-[GCUwk]")), ("dashed given", re.compile(r"[GCUwk]{2}-[GCUwk]"))]
-INITIAL = [re.compile(r"i\.(?:i\.)?[GCUwk]"), re.compile(r"i\.(?:i\.)?[GCUwk]{2}")]
+PERSON = [("two", re.compile(r"[GCUwk]{2}")), ("three", re.compile(r"[GCUwk]{3}")), ("middle", re.compile(r"[GCUwk]i\.?[GCUwk]")), ("last first", re.compile(r"[GCUwk],[GCUwk]")), ("two last first", re.compile(r"[GCUwk]{2},[GCUwk]")), ("dashed", re.compile(r"[GCUwk]-[GCUwk]")), ("dashed given", re.compile(r"[GCUwk]{2}-[GCUwk]")), ("dashed first", re.compile(r"[GCUwk]-[GCUwk]{2}")), ("apostrophe", re.compile(r"[GCUwk]i['’][GCUwk]")), ("particle", re.compile(r"[GCUwk]v{1,2}[GCUwk]"))]
+INITIAL = [re.compile(r"i\.(?:i\.)?[GCUwk]"), re.compile(r"i\.(?:i\.)?[GCUwk]{2}"), re.compile(r"i\.i['’][GCUwk]")]
+#: Family names by themselves that begin with a letter and an apostrophe or with particles.
+FAMILY = [re.compile(r"i['’][GCUwk]"), re.compile(r"v{1,2}[GCUwk]")]
 
 
 def _tight(text: str, spans: list[tuple[int, int]], i: int, j: int) -> bool:
@@ -268,6 +295,8 @@ def _span(t: Text, i: int, j: int, kind: str, form: str) -> list[str]:
         starts = i == 0 or t.words[i - 1] in SENTENCE_END
         out += [f"{k}given={min(2, given)}", f"{k}len={j - i}", f"{k}start={starts} {form}", f"{k}rc={rc} {form}", f"{k}lc={lc} {form}"]
         out += [f"{k}first={grades[0]} {cls[i]} {j - i}", f"{k}last={grades[-1]} {cls[j - 1]} {j - i}", f"{k}grades={min(grades)} {max(grades)} {given > 0}", f"{k}{form} l1={left}"]
+        firm = company_words()
+        out.append(f"{k}firm={sum(w in firm for w in low[i:j])} {right in firm} {j - i}")
         around = [left, *low[i:j], right]
         if any(x == y for x, y in zip(around, around[1:])):  # a word said again and again
             out += [f"{k}again", f"{k}again {form}"]
@@ -281,8 +310,15 @@ def _span(t: Text, i: int, j: int, kind: str, form: str) -> list[str]:
             out += [f"{k}town={low[j - 1][-4:]}", f"{k}town={t.grade[j - 1]}"]
     else:
         out += [f"{k}{form} l1={left}", f"{k}lc={lc}"]
+        if kind in ("phone", "identity_number"):
+            d = digits_of(t, i, j)
+            n, exchange = min(len(d), 14), "555" in d[3:6]  # 555 is the exchange of numbers that belong to nobody
+            out += [f"{k}n={n} {exchange}", f"{k}n={n} letters={any(x.isalpha() and len(x) == 1 for x in low[i:j])}", f"{k}n={n} first={d[:1]}"]
         if kind == "email":
             out.append(f"{k}{form} first={cls[i]}{t.grade[i]}")
+            if form.startswith("said"):
+                domain = [g for g, w in zip(t.grade[i:j], low[i:j])][low[i:j].index("at") + 1 :: 2]
+                out += [f"{k}domain={max(domain[:1], default=0)}", f"{k}top={low[j - 1]}"]
     return out
 
 
@@ -355,21 +391,23 @@ class SemiMarkov:
     @classmethod
     def train(cls, common: dict[str, int] | None = None, n: int = TRAINING_TEXTS, epochs: int = EPOCHS, seed: int = 11) -> SemiMarkov:
         """Stochastic gradient ascent (AdaGrad) on the conditional log likelihood of the segmentations. Some words' frequencies are changed by chance, so that context decides where frequency misleads."""
-        common = dict.fromkeys(_template_words() - _given(), COMMON_GRADE) | (common or {})
+        common = dict.fromkeys(frame_words() - _given(), COMMON_GRADE) | (common or {})
         model, rows, number, r = cls({}, common), [], {}, random.Random(seed)
         for pieces in training_texts(n, seed):
             text, gold, changed = "", set(), {}
+            frequent = FREQUENT[0] if r.random() < NAMED_OFTEN else FREQUENT[1]
             for piece, kind in pieces:
                 if kind:
                     gold.add((len(text), len(text) + len(piece), kind))
                 for w in re.findall(r"[^\W\d_]+", piece.lower()):
-                    if w not in changed and r.random() < (FREQUENT if kind else UNKNOWN):
-                        changed[w] = r.randrange(1, len(SHARES)) if kind else 0
+                    if w not in changed and r.random() < (frequent if kind else UNKNOWN):
+                        changed[w] = r.choice((1, 1, 2, 2, 3)) if kind else 0
                 text += piece
             t = Text(text, ChainMap(changed, common))
             cands = candidates(t)
             if cands:
-                feats = [[number.setdefault(f, len(number)) for f in features(t, c)] for c in cands]
+                blind = r.random() < BLIND
+                feats = [[number.setdefault(f, len(number)) for f in features(t, c) if not (blind and AROUND.search(f))] for c in cands]
                 sizes = [len(f) for f in feats]
                 rows.append((model._lattice(cands), np.concatenate([np.array(f) for f in feats]), np.cumsum([0, *sizes[:-1]]), np.array(sizes), np.array([(c[0], c[1], c[2]) in gold for c in cands], float)))
         w, sq = np.zeros(len(number)), np.ones(len(number))

@@ -300,8 +300,8 @@ def _span(t: Text, i: int, j: int, kind: str, form: str) -> list[str]:
         around = [left, *low[i:j], right]
         if any(x == y for x, y in zip(around, around[1:])):  # a word said again and again
             out += [f"{k}again", f"{k}again {form}"]
-        if given and j - i == 1:
-            out.append(f"{k}word={low[i]} case={t.words[i][0].isupper()}")
+        if given and j - i <= 2:
+            out.append(f"{k}word={low[i]} case={t.words[i][0].isupper()} {cls[i:j]}")
     elif kind == "address":
         out += [f"{k}n={min(8, j - i)}", f"{k}rc={rc}", f"{k}next={cls[j : j + 2]}", f"{k}{form} next={cls[j : j + 2]}"]
         if form.startswith("said"):

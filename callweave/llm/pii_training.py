@@ -39,6 +39,15 @@ _ONES = "zero one two three four five six seven eight nine".split()
 _TEENS = "ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 _TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 
+# Frequent verbs and small words, which follow given names that are also words ("will advise") and stand in the frames' place for any word.
+_WORDS = """accept act add advise agree allow answer apply arrange ask assist begin break bring build buy carry cause change charge collect come consider continue correct
+cover create cut decide deliver deny describe discuss drop enter expect explain fail fall feel fill find finish fix follow forward give grow happen help include increase insist
+keep learn leave lift listen lose make manage match move need notice occur offer order point prepare process produce protect prove provide push raise receive reduce refuse remain
+remember remove repeat replace reply request resolve return review save sell serve settle ship show sign solve sort stand submit suggest supply support take teach touch train
+treat try update use verify visit wear win wish work about above across after again against along around away back before behind below between beyond down during even ever far
+if inside into just less more near off often once only out over past quite rather since soon still such than then though through today together tomorrow under until up very when
+while within without""".split()
+
 #: What names of companies, plans and buildings are made of.
 _CO_FIRST = "blue brown silver golden green red white north south east west first united national central river lake summit valley harbor oak maple cedar eagle fox lion star sun crown pioneer liberty heritage community family".split()
 _CO_SECOND = "shield cross fox oak valley river star stone point bridge harbor ridge lake field care life health trust".split()
@@ -280,6 +289,13 @@ The grace period ends in June.
 Mark the second box.
 Somebody will look into it and will answer.
 They may call and may not.
+They will |<W>|.
+We will |<W>| and |<W>|.
+It may |<W>| |<W>|.
+They |<W>| and will |<W>|; that is all.
+You can |<W>| it |<W>| or |<W>| it.
+If we |<W>| |<W>|, it will |<W>|.
+She |<W>|s |<W>| all of it.
 They drew a line under it.
 Hope that helps.
 Have faith, it gets done.
@@ -526,6 +542,8 @@ class Maker:
         if slot == "<S>":  # of the form of a social security number
             n = self.digits(9)
             return self.say_digits(n) if spoken else self.pick(f"{n[:3]}-{n[3:5]}-{n[5:]}", f"{n[:3]}-{n[3:5]}-{n[5:]}", f"{n[:3]} {n[3:5]} {n[5:]}")
+        if slot == "<W>":
+            return self.r.choice(_WORDS)
         if slot == "<C>":
             return self.say_digits(self.digits(5)) if spoken else self.digits(self.pick(3, 5))
         if slot == "<D>":
@@ -597,7 +615,7 @@ def company_words() -> frozenset[str]:
 def frame_words() -> frozenset[str]:
     """The words of the frames, companies' kinds included."""
     words = {w for frames in FRAMES.values() for frame in frames for piece in frame.split("|") if not piece.startswith("<") for w in re.findall(r"[^\W\d_]{2,}", piece.lower())}
-    return frozenset(words | set(_CO_KIND))
+    return frozenset(words | set(_CO_KIND) | set(_WORDS))
 
 
 @cache

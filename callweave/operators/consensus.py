@@ -14,7 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from callweave.functions.numbers import rounded
-from callweave.operators.intervals import interval_join, islands
+from callweave.operators import ordered
+from callweave.operators.intervals import interval_join
 from callweave.operators.sequence import ordered_fold
 from callweave.session import shuffle_partitions
 
@@ -65,7 +66,7 @@ def grid_vote(segments: DataFrame, calls: DataFrame, cell_s: float = 0.25, tiebr
 
 def collapse_grid(frames: DataFrame, cell_s: float = 0.25) -> DataFrame:
     """Runs of equal labels on the grid: start, end, mean agreement (two decimals), least voters."""
-    runs = islands(frames, ["call_id"], ["frame"], F.col("label"))
+    runs = ordered.runs(frames, ["call_id"], ["frame"], F.col("label"), ordered.BIN_COUNT)
     return runs.groupBy("call_id", "_run").agg(F.min("label").alias("label"), (F.min("frame") * cell_s).alias("start"), ((F.max("frame") + 1) * cell_s).alias("end"), F.round(F.avg("agreement"), 2).alias("agreement"), F.min("n_voters").alias("min_voters")).drop("_run")
 
 
@@ -161,7 +162,7 @@ def assign_speakers(intervals: DataFrame, votes: DataFrame) -> DataFrame:
 
 def merge_intervals(intervals: DataFrame) -> DataFrame:
     """Neighbours with the same label and speaker (NULL equals NULL) become one: agreement weighted by duration (three decimals), least voters, any tie, votes of the first widest piece."""
-    runs = islands(intervals, ["call_id"], ["k"], F.struct("label", "human_id"))
+    runs = ordered.runs(intervals, ["call_id"], ["k"], F.struct("label", "human_id"), ordered.BIN_COUNT)
     width = F.col("end") - F.col("start")
     return runs.groupBy("call_id", "_run").agg(
         F.min("label").alias("label"), F.min("human_id").alias("human_id"), rounded(F.min("start"), 2).alias("start"), rounded(F.max("end"), 2).alias("end"),

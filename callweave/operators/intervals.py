@@ -1,4 +1,4 @@
-"""Interval relations (key, start, end, ...): joins, islands, chunk plans, repair and clipping.
+"""Interval relations (key, start, end, ...): joins, chunk plans, repair and clipping.
 
 All intervals are half open. Nulls: rows with a null or NaN bound, or that do not end after they start, are no
 intervals. Empty inputs give empty results.
@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from callweave.functions.numbers import rounded
@@ -40,13 +39,6 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str],
     return joined.select(*[F.col(f"p.{c}") for c in points.columns], *[F.col(f"i.{c}") for c in intervals.columns if c not in (*keys, *points.columns)])
 
 
-def islands(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column) -> DataFrame:
-    """rows with _run: the number of the run of equal consecutive values (NULL equals NULL) within the keys."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    change = ~F.lag("_value").over(w).eqNullSafe(F.col("_value")) | (F.row_number().over(w) == 1)
-    return rows.withColumn("_value", value).withColumn("_new", change.cast("int")).withColumn("_run", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_new", "_value")
-
-
 def plan_chunks(recordings: DataFrame, key: str, total: str, chunk_s: float = 300.0, min_tail_s: float = 60.0) -> DataFrame:
     """(key, chunk_index, start_s, end_s): spans of fixed length; a last span shorter than min_tail_s joins the one before."""
     n = F.ceil(F.col(total) / chunk_s)
@@ -67,8 +59,8 @@ def chunk_metadata(spans: DataFrame, key: str) -> DataFrame:
 
 def first_chunk_per_call(chunks: DataFrame, call: str) -> DataFrame:
     """The chunk with the smallest index (then id) of every call."""
-    w = W.partitionBy(call).orderBy("chunk_index", "chunk_id")
-    return chunks.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+    rest = [c for c in chunks.columns if c != call]
+    return chunks.groupBy(call).agg(F.min_by(F.struct(*rest), F.struct("chunk_index", "chunk_id")).alias("_r")).select(call, "_r.*")
 
 
 def missing_ids(wanted: DataFrame, present: DataFrame, key: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from callweave.operators import ordered
 from callweave.operators.intervals import interval_join
 from callweave.operators.sequence import greedy_pairs, ordered_fold
 
@@ -48,8 +49,7 @@ def state_metrics(pairs: DataFrame, gold: str, predicted: str, states: Sequence[
 
 def change_points(hops: DataFrame, key: str, time: str, state: str, tie: str) -> DataFrame:
     """(key, t, state) where the state differs from the row before."""
-    w = W.partitionBy(key).orderBy(time, tie)
-    return hops.withColumn("_p", F.lag(state).over(w)).filter(F.col("_p").isNotNull() & (F.col("_p") != F.col(state))).select(key, F.col(time).alias("t"), F.col(state).alias("kind"))
+    return ordered.before(hops, [key], [time, tie], {"_p": F.col(state)}).filter(F.col("_p") != F.col(state)).select(key, F.col(time).alias("t"), F.col(state).alias("kind"))
 
 
 def match_events(gold: DataFrame, predicted: DataFrame, key: str, tolerance: float) -> DataFrame:
@@ -59,9 +59,11 @@ def match_events(gold: DataFrame, predicted: DataFrame, key: str, tolerance: flo
     matched by itself.
     """
     both = gold.select(key, "t", "kind", "tag", F.lit(0).alias("side")).unionByName(predicted.select(key, "t", "kind", "tag", F.lit(1).alias("side"))).filter(F.col("t").isNotNull() & F.col(key).isNotNull())
-    w = W.partitionBy(key).orderBy("t", "side", "kind", "tag")
-    cut = both.withColumn("_c", F.sum(F.coalesce((F.col("t") - F.lag("t").over(w) > tolerance).cast("int"), F.lit(1))).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    keyed = cut.withColumn("piece", F.concat_ws("\u0001", F.col(key), F.col("_c").cast("string")))
+    order = ["t", "side", "kind", "tag"]
+    cut = ordered.before(both, [key], order, {"_before": F.col("t")})
+    cut = cut.withColumn("_first", F.when(F.col("_before").isNull() | (F.col("t") - F.col("_before") > tolerance), F.col("t")))
+    cut = ordered.before(cut, [key], order, {"_open": F.col("_first")})
+    keyed = cut.withColumn("piece", F.concat_ws("\u0001", F.col(key), F.coalesce("_first", "_open").cast("string")))
 
     def step(state: list, row: list) -> list:
         state.append(row)
@@ -97,19 +99,19 @@ def stability(hops: DataFrame, gold: DataFrame, key: str = "call_id") -> DataFra
 
 
 def latency(rows: DataFrame, column: str, budget: float, by: Sequence[str] = ()) -> DataFrame:
-    """Mean, percentiles (linear and nearest rank), maximum, share over budget (strict) and real-time factor."""
+    """Mean, exact percentiles with linear interpolation, maximum, share over budget (strict) and real-time factor."""
+    if not by:
+        return latency(rows.withColumn("_all", F.lit(1)), column, budget, ["_all"]).drop("_all")
     got = rows.filter(F.col(column).isNotNull()).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(column), 6).alias("mean_ms"), F.round(F.percentile(column, F.lit(0.5)), 6).alias("p50_ms"), F.round(F.percentile(column, F.lit(0.95)), 6).alias("p95_ms"),
-        F.max(column).alias("max_ms"), F.round(F.avg((F.col(column) > budget).cast("double")), 6).alias("over_budget"), F.round(F.avg(column) / budget, 6).alias("rtf"),
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(column), 6).alias("mean_ms"), F.max(column).alias("max_ms"), F.round(F.avg((F.col(column) > budget).cast("double")), 6).alias("over_budget"), F.round(F.avg(column) / budget, 6).alias("rtf"),
     )
-    return got
+    ps = ordered.percentiles(rows, by, column, {"p50_ms": 0.5, "p95_ms": 0.95}).select(*[F.col(c).alias(f"_{c}") for c in by], *[F.round(c, 6).alias(c) for c in ("p50_ms", "p95_ms")])
+    return got.join(ps, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]).select(*by, "n", "mean_ms", "p50_ms", "p95_ms", "max_ms", "over_budget", "rtf")
 
 
 def nearest_rank(rows: DataFrame, column: str, q: float, by: Sequence[str]) -> DataFrame:
-    """The value at rank round(q * (n - 1)), half to even, and the upper median, per group; ranks by an ordered window, nothing is collected."""
-    w = W.partitionBy(*by)
-    ranked = rows.filter(F.col(column).isNotNull()).withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_k", F.row_number().over(w.orderBy(column)) - 1)
-    return ranked.groupBy(*by).agg(F.max(F.when(F.col("_k") == F.bround(F.lit(q) * (F.col("_n") - 1), 0), F.col(column))).alias("nearest_rank"), F.max(F.when(F.col("_k") == F.floor(F.col("_n") / 2), F.col(column))).alias("upper_median"))
+    """The value at rank round(q * (n - 1)), half to even, and the upper median, per group."""
+    return ordered.ranked_values(rows, by, column, {"nearest_rank": F.bround(F.lit(q) * (F.col("_n") - 1), 0), "upper_median": F.floor(F.col("_n") / 2)}).drop("_n")
 
 
 BINS = (0.0, 0.4, 0.6, 0.8, 0.9, 1.01)
@@ -135,8 +137,8 @@ def exclusions(rows: DataFrame, gold: str, agreement: str, least: float, unscora
 
 def running_accuracy(rows: DataFrame, key: str, order: Sequence[str], right: Column) -> DataFrame:
     """rows with the accuracy so far within the key; rows without gold don't count."""
-    w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return rows.withColumn("running_accuracy", F.round(F.avg(right.cast("double")).over(w), 6))
+    got = ordered.sums_so_far(rows, [key], order, {"_right": right.cast("int"), "_judged": right.isNotNull().cast("int")})
+    return got.withColumn("running_accuracy", F.round(F.col("_right") / F.nullif(F.col("_judged"), F.lit(0)), 6)).drop("_right", "_judged", "_bin")
 
 
 def call_summary(segments: DataFrame, hops: DataFrame, budget_ms: float = 500.0) -> DataFrame:
@@ -147,5 +149,9 @@ def call_summary(segments: DataFrame, hops: DataFrame, budget_ms: float = 500.0)
     dominant = F.lit("other")
     for s in reversed(STATES):
         dominant = F.when(F.col(f"{s}_s") == top, s).otherwise(dominant)
-    h = hops.groupBy("call_id").agg(F.count(F.lit(1)).alias("n_hops"), F.round(F.max("t_s"), 3).alias("last_s"), F.count_distinct("speaker_id").alias("n_speakers"), F.round(F.percentile("latency_ms", F.lit(0.95)), 6).alias("p95_latency_ms"), F.count_if(F.col("latency_ms") > budget_ms).alias("over_budget_hops"))
-    return h.join(dur, "call_id", "left").withColumn("dominant", dominant).withColumn("realtime_ok", F.col("p95_latency_ms") < budget_ms)
+    h = hops.groupBy("call_id").agg(F.count(F.lit(1)).alias("n_hops"), F.round(F.max("t_s"), 3).alias("last_s"), F.count_if(F.col("latency_ms") > budget_ms).alias("over_budget_hops"))
+    # speakers are counted from one row each; F.count_distinct would do the same after a second shuffle of all hops' groups
+    who = hops.filter("speaker_id IS NOT NULL").groupBy("call_id", "speaker_id").agg(F.lit(1).alias("one")).groupBy("call_id").agg(F.sum("one").alias("n_speakers"))
+    p95 = ordered.percentiles(hops, ["call_id"], "latency_ms", {"p95": 0.95}).select("call_id", F.round("p95", 6).alias("p95_latency_ms"))
+    got = h.join(who, "call_id", "left").join(p95, "call_id", "left").join(dur, "call_id", "left").withColumn("n_speakers", F.coalesce("n_speakers", F.lit(0)))
+    return got.withColumn("dominant", dominant).withColumn("realtime_ok", F.col("p95_latency_ms") < budget_ms)

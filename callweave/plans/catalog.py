@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from callweave.functions import lexicon, text
 from callweave.functions.numbers import rounded
-from callweave.operators import consensus, intervals, ledger, metrics, models, sequence, timeseries
+from callweave.operators import consensus, intervals, ledger, metrics, models, ordered, sequence, timeseries
 from callweave.session import cut, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -317,7 +317,7 @@ _RUNS = "WITH " + HOPS + """, m AS (SELECT *, CASE WHEN lag(state) OVER w = stat
 
 @query(_RUNS + "SELECT call_id, min(t_s) AS start_s, round(max(t_s) + 0.5, 3) AS end_s, min(state) AS state, count(*) AS hops FROM r GROUP BY call_id, run")
 def segment_timeline(spark, d):
-    return timeseries.segment_timeline(hops(spark, d)).select("call_id", "start_s", "end_s", "state", "hops")
+    return timeseries.segment_timeline(hops(spark, d), labels=False).select("call_id", "start_s", "end_s", "state", "hops")
 
 
 _MODAL = _RUNS.rstrip() + """, subs AS (SELECT call_id, run, sub_label FROM (SELECT call_id, run, sub_label, row_number() OVER (PARTITION BY call_id, run ORDER BY count(*) DESC, min(t_s)) AS k FROM r WHERE sub_label IS NOT NULL GROUP BY 1, 2, 3) WHERE k = 1),
@@ -420,12 +420,13 @@ def transfer_inputs(h, carrier, spoken):
     near = timeseries.asof_flags(h.select("call_id", "t_s", "row_id", "state", "speaker_id", "confidence"), events, "call_id", "t_s", {"leg": ("siplegchanged", "participantchanged"), "phrase": ("phrase",), "fail": ("fail",)}, within_s=3.0)
     scores = spoken.filter("kind = 'fail'").groupBy("call_id", F.col("t_s").alias("last_fail_s")).agg(F.max("fail").alias("_fail"))
     near = near.join(scores, ["call_id", "last_fail_s"], "left")
-    w = timeseries.W.partitionBy("call_id").orderBy("t_s", "row_id")
-    first = F.row_number().over(timeseries.W.partitionBy("call_id", "speaker_id").orderBy("t_s", "row_id")) == 1
-    run = near.withColumn("_n", F.coalesce((F.lag("state").over(w) != F.col("state")).cast("int"), F.lit(1))).withColumn("_t0", F.last(F.when(F.col("_n") == 1, F.col("t_s")), ignorenulls=True).over(w.rowsBetween(timeseries.W.unboundedPreceding, 0)))
+    run = ordered.runs(near, ["call_id"], ["t_s", "row_id"], F.col("state")).withColumn("_t0", F.col("_run.t_s"))
+    # a speaker's first hop: one row per call and speaker
+    met = near.filter("speaker_id IS NOT NULL").groupBy("call_id", "speaker_id").agg(F.min(F.struct("t_s", "row_id")).alias("_met"))
+    run = run.join(met, ["call_id", "speaker_id"], "left").withColumn("is_new", F.coalesce(F.col("_met") == F.struct("t_s", "row_id"), F.lit(False)))
     recent = lambda name: F.col(f"{name}_recent") & (F.col(f"since_{name}_s") < 0.5)
     fail = F.when(recent("fail"), F.col("_fail")).otherwise(0.0)
-    return run.select("call_id", "row_id", "t_s", "state", "speaker_id", (F.col("speaker_id").isNotNull() & first).alias("is_new"), F.when(recent("phrase"), 0.9).otherwise(0.0).alias("transfer_phrase"), fail.alias("transfer_fail"), "confidence", F.col("leg_recent").alias("leg_changed"), (F.col("t_s") - F.col("_t0")).alias("dwell_s"))
+    return run.select("call_id", "row_id", "t_s", "state", "speaker_id", "is_new", F.when(recent("phrase"), 0.9).otherwise(0.0).alias("transfer_phrase"), fail.alias("transfer_fail"), "confidence", F.col("leg_recent").alias("leg_changed"), (F.col("t_s") - F.col("_t0")).alias("dwell_s"))
 
 
 @query()
@@ -447,16 +448,19 @@ th AS (SELECT call_id, quantile_cont(db, 0.25) AS lo, quantile_cont(db, 0.95) AS
 
 def _frames(spark, d):
     fr = table(spark, d, "timeline").filter("call_id IS NOT NULL AND t_s IS NOT NULL AND latency_ms IS NOT NULL").select("call_id", "t_s", "row_id", (20 * F.log10(F.greatest("latency_ms", F.lit(0.001)))).alias("db"))
-    th = fr.groupBy("call_id").agg(F.percentile("db", F.lit(0.25)).alias("lo"), F.percentile("db", F.lit(0.95)).alias("hi"))
+    th = ordered.percentiles(fr, ["call_id"], "db", {"lo": 0.25, "hi": 0.95}).drop("_n")
     return fr.join(th, "call_id").withColumn("speech", F.when(F.col("hi") - F.col("lo") < 3, F.col("hi") > -45).otherwise(F.col("db") > F.col("lo") + 9))
 
 
 @query("WITH " + _FRAMES + """, f AS (SELECT *, CASE WHEN hi - lo < 3 THEN hi > -45 ELSE db > lo + 9 END AS sp FROM fr JOIN th USING (call_id)), m AS (SELECT *, CASE WHEN lag(sp) OVER w = sp THEN 0 ELSE 1 END AS st FROM f WINDOW w AS (PARTITION BY call_id ORDER BY t_s, row_id)), r AS (SELECT *, sum(st) OVER (PARTITION BY call_id ORDER BY t_s, row_id) AS run FROM m)
 SELECT row_id, sp AND (hi - lo < 3 OR count(*) OVER (PARTITION BY call_id, run) >= 3) AS speech FROM r""")
 def vad_frames(spark, d):
-    f = intervals.islands(_frames(spark, d), ["call_id"], ["t_s", "row_id"], F.col("speech"))
-    n = F.count(F.lit(1)).over(timeseries.W.partitionBy("call_id", "_run"))
-    return f.select("row_id", (F.col("speech") & ((F.col("hi") - F.col("lo") < 3) | (n >= 3))).alias("speech"))
+    f = ordered.runs(_frames(spark, d), ["call_id"], ["t_s", "row_id"], F.col("speech"))
+    # runs of one or two frames are few rows; they are marked where they lie, so that a long run is never brought together
+    short = f.filter("speech").groupBy("call_id", "_run").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(F.array(F.min("_bin"), F.max("_bin"))).alias("bins")).filter("n < 3")
+    short = short.select("call_id", "_run", F.explode("bins").alias("_bin"), F.lit(True).alias("_short"))
+    got = f.join(short, ["call_id", "_bin", "_run"], "left")
+    return got.select("row_id", (F.col("speech") & ((F.col("hi") - F.col("lo") < 3) | F.col("_short").isNull())).alias("speech"))
 
 
 @query()
@@ -701,7 +705,7 @@ h AS (SELECT call_id, count(*) AS n_hops, round(max(t_s), 3) AS last_s, count(DI
 SELECT call_id, n_hops, last_s, n_speakers, p95_latency_ms, over_budget_hops, n_segments, ivr_s, human_s, hold_s, other_s, CASE greatest(ivr_s, human_s, hold_s, other_s) WHEN ivr_s THEN 'ivr' WHEN human_s THEN 'human' WHEN hold_s THEN 'hold' ELSE 'other' END AS dominant, p95_latency_ms < 500 AS realtime_ok FROM h LEFT JOIN dur USING (call_id)""")
 def call_summary(spark, d):
     h = hops(spark, d)
-    return metrics.call_summary(timeseries.segment_timeline(h), h)
+    return metrics.call_summary(timeseries.segment_timeline(h, labels=False), h)
 
 
 @query(_PAIRS + "SELECT gold_state, call_id, CAST(grouping(call_id) AS INTEGER) AS pooled, count(*) AS n, count(*) FILTER (state = gold_state) AS hit FROM pairs WHERE gold_state IS NOT NULL GROUP BY GROUPING SETS ((gold_state), (call_id), ())")

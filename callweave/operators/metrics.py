@@ -52,16 +52,17 @@ def change_points(hops: DataFrame, key: str, time: str, state: str, tie: str) ->
     return ordered.before(hops, [key], [time, tie], {"_p": F.col(state)}).filter(F.col("_p") != F.col(state)).select(key, F.col(time).alias("t"), F.col(state).alias("kind"))
 
 
-def match_events(gold: DataFrame, predicted: DataFrame, key: str, tolerance: float) -> DataFrame:
+def match_events(gold: DataFrame, predicted: DataFrame, key: str, tolerance: float | Column) -> DataFrame:
     """(key, kind, gold_t, pred_t, gold_tag, pred_tag): greedy one-to-one pairs, unmatched ones with NULL on the other side. gold, predicted: (key, t, kind, tag).
 
     Rows further apart than the tolerance never meet, so a key is cut at every gap larger than it and each piece is
     matched by itself.
     """
-    both = gold.select(key, "t", "kind", "tag", F.lit(0).alias("side")).unionByName(predicted.select(key, "t", "kind", "tag", F.lit(1).alias("side"))).filter(F.col("t").isNotNull() & F.col(key).isNotNull())
+    within = (tolerance if isinstance(tolerance, Column) else F.lit(float(tolerance))).alias("tol")
+    both = gold.select(key, "t", "kind", "tag", F.lit(0).alias("side"), within).unionByName(predicted.select(key, "t", "kind", "tag", F.lit(1).alias("side"), within)).filter(F.col("t").isNotNull() & F.col(key).isNotNull())
     order = ["t", "side", "kind", "tag"]
     cut = ordered.before(both, [key], order, {"_before": F.col("t")})
-    cut = cut.withColumn("_first", F.when(F.col("_before").isNull() | (F.col("t") - F.col("_before") > tolerance), F.col("t")))
+    cut = cut.withColumn("_first", F.when(F.col("_before").isNull() | (F.col("t") - F.col("_before") > F.col("tol")), F.col("t")))
     cut = ordered.before(cut, [key], order, {"_open": F.col("_first")})
     keyed = cut.withColumn("piece", F.concat_ws("\u0001", F.col(key), F.coalesce("_first", "_open").cast("string")))
 
@@ -72,15 +73,28 @@ def match_events(gold: DataFrame, predicted: DataFrame, key: str, tolerance: flo
     def finish(state: list) -> list[tuple]:
         g = [(r[0], r[1], r[2]) for r in state if r[3] == 0]
         p = [(r[0], r[1], r[2]) for r in state if r[3] == 1]
-        pairs = greedy_pairs([x[:2] for x in g], [x[:2] for x in p], tolerance)
+        pairs = greedy_pairs([x[:2] for x in g], [x[:2] for x in p], state[0][4])
         out = [(g[i][1], g[i][0], p[j][0], g[i][2], p[j][2]) for i, j, _ in pairs]
         a, b = {i for i, _, _ in pairs}, {j for _, j, _ in pairs}
         return out + [(x[1], x[0], None, x[2], None) for i, x in enumerate(g) if i not in a] + [(x[1], None, x[0], None, x[2]) for j, x in enumerate(p) if j not in b]
 
-    got = ordered_fold(keyed, "piece", ["t", "side", "kind", "tag"], ["t", "kind", "tag", "side"], list, step, finish, "piece string, kind string, gold_t double, pred_t double, gold_tag string, pred_tag string")
+    got = ordered_fold(keyed, "piece", ["t", "side", "kind", "tag"], ["t", "kind", "tag", "side", "tol"], list, step, finish, "piece string, kind string, gold_t double, pred_t double, gold_tag string, pred_tag string")
     return got.select(F.split("piece", "\u0001")[0].alias(key), "kind", "gold_t", "pred_t", "gold_tag", "pred_tag")
 
 
+def boundary_recall(gold: DataFrame, predicted: DataFrame, key: str, tolerances: Sequence[float]) -> DataFrame:
+    """Per tolerance the gold change points, how many were found, their share and the lag. The inputs are evaluated once: every tolerance matches its own copy of the rows, told apart by the key."""
+    copies = F.explode(F.array(*map(F.lit, map(float, tolerances)))).alias("_tol")
+    spread = lambda df: df.select(F.concat_ws("\u0002", copies_name, F.col(key)).alias("_key"), "t", "kind", "tag", "_tol")
+    copies_name = F.col("_tol").cast("string")
+    g, p = (spread(df.select(key, "t", "kind", "tag", copies)) for df in (gold, predicted))
+    pairs = match_events(g, p, "_key", F.col("_tol")).filter("gold_t IS NOT NULL").withColumn("tolerance_s", F.split("_key", "\u0002")[0].cast("double"))
+    found = pairs.groupBy("tolerance_s").agg(F.count(F.lit(1)).alias("gold"), F.count("pred_t").alias("found"), F.round(F.avg(F.col("pred_t") - F.col("gold_t")), 4).alias("lag_mean"))
+    lags = ordered.percentiles(pairs.withColumn("_lag", F.col("pred_t") - F.col("gold_t")), ["tolerance_s"], "_lag", {"lag_p95": 0.95}).select("tolerance_s", F.round("lag_p95", 4).alias("lag_p95"))
+    got = found.join(lags, "tolerance_s", "left")
+    return got.select("tolerance_s", "gold", "found", F.round(F.col("found") / F.col("gold"), 4).alias("recall"), "lag_mean", "lag_p95")
+
+
 def match_counts(pairs: DataFrame, by: Sequence[str] = ("kind",)) -> DataFrame:
     """tp, fp, fn, precision, recall, F1 and the share of equal tags among pairs whose gold has one; NULL where there is nothing to score."""
     hit = F.col("gold_t").isNotNull() & F.col("pred_t").isNotNull()

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
+from collections.abc import Sequence
+from dataclasses import asdict, dataclass, replace
+from pathlib import Path
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -91,6 +95,52 @@ def fit_logistic(rows: DataFrame, features: list[str] | str, label: str, l2: flo
     return scaler, model, model.transform(ready)
 
 
+@dataclass(frozen=True)
+class Head:
+    """A fitted logistic head as plain numbers, so that it is saved as JSON and scores with built-in expressions."""
+
+    features: tuple[str, ...]
+    mean: tuple[float, ...]
+    std: tuple[float, ...]
+    weights: tuple[tuple[float, ...], ...]
+    bias: tuple[float, ...]
+    temperature: float = 1.0
+
+    @classmethod
+    def fit(cls, rows: DataFrame, features: Sequence[str], label: str, l2: float = 3e-3, rounds: int = 100) -> Head:
+        scaler, model, _ = fit_logistic(rows, list(features), label, l2, rounds)
+        m, b = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
+        full = lambda a: [*a.tolist(), *[[0.0] * len(features)] * (len(STATES) - len(a))]
+        low = [*b.tolist(), *[-50.0] * (len(STATES) - len(b))]  # a state that the training rows lack is never chosen
+        std = [float(x) or 1.0 for x in scaler.std.toArray()]
+        return cls(tuple(features), tuple(map(float, scaler.mean.toArray())), tuple(std), tuple(map(tuple, full(m))), tuple(low))
+
+    def logits(self) -> list[Column]:
+        x = [(F.col(f) - m) / s for f, m, s in zip(self.features, self.mean, self.std)]
+        return [sum((c * w for c, w in zip(x, ws)), F.lit(b)) for ws, b in zip(self.weights, self.bias)]
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """rows with p_<state>, the state of the largest and its confidence."""
+        named = rows.withColumns({f"_s{k}": s for k, s in enumerate(self.logits())})
+        out = named.withColumns({f"p_{s}": p for s, p in zip(STATES, softmax([F.col(f"_s{k}") for k in range(len(STATES))], self.temperature))})
+        top = F.greatest(*[F.col(f"p_{s}") for s in STATES])
+        best = F.array_position(F.array(*[F.col(f"p_{s}") for s in STATES]), top).cast("int")
+        return out.withColumns({"confidence": top, "state": F.element_at(F.array(*map(F.lit, STATES)), best)}).drop(*[f"_s{k}" for k in range(len(STATES))])
+
+    def with_temperature(self, rows: DataFrame, label: str) -> Head:
+        """The temperature of the grid with the least negative log likelihood of rows; the lowest of equals, 1 without rows."""
+        scored = rows.select(label, *[s.alias(f"s{k}") for k, s in enumerate(self.logits())])
+        best = temperature_grid(scored, [f"s{k}" for k in range(len(STATES))], label).agg(F.min_by("temperature", F.struct("nll", "temperature"))).first()[0]
+        return replace(self, temperature=best if best is not None else 1.0)
+
+    def save(self, path: str) -> None:
+        Path(path).write_text(json.dumps(asdict(self)))
+
+    @classmethod
+    def load(cls, path: str) -> Head:
+        return cls(**{k: tuple(tuple(x) if isinstance(x, list) else x for x in v) if isinstance(v, list) else v for k, v in json.loads(Path(path).read_text()).items()})
+
+
 def temperature_grid(rows: DataFrame, logits: list[str], label: str, low: float = 0.5, high: float = 4.0, step: float = 0.05) -> DataFrame:
     """(temperature, nll) of every temperature of a fixed grid; sums are combined before the shuffle, so only the grid is shuffled."""
     temps = [round(low + i * step, 2) for i in range(round((high - low) / step) + 1)]

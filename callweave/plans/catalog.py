@@ -648,13 +648,7 @@ def change_points(spark, d):
 def boundary_recall(spark, d):
     g = metrics.change_points(gold(spark, d).filter("state IS NOT NULL"), "call_id", "start_s", "state", "turn_id").withColumn("tag", F.lit(None).cast("string"))
     p = metrics.change_points(hops(spark, d), "call_id", "t_s", "state", "row_id").withColumn("tag", F.lit(None).cast("string"))
-    out = None
-    for tol in (0.5, 1.0, 2.0):
-        pairs = metrics.match_events(g, p, "call_id", tol).filter("gold_t IS NOT NULL")
-        lag = F.col("pred_t") - F.col("gold_t")
-        row = pairs.agg(F.lit(tol).alias("tolerance_s"), F.count(F.lit(1)).alias("gold"), F.count("pred_t").alias("found"), F.round(F.coalesce(F.count("pred_t") / F.nullif(F.count(F.lit(1)), F.lit(0)), F.lit(0.0)), 4).alias("recall"), F.round(F.avg(lag), 4).alias("lag_mean"), F.round(F.percentile(lag, F.lit(0.95)), 4).alias("lag_p95"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    return metrics.boundary_recall(g, p, "call_id", (0.5, 1.0, 2.0))
 
 
 @query()
@@ -764,3 +758,53 @@ def acoustic_features(spark, d):
     from callweave.sources import synth
 
     return window_features(synth.corpus(spark, 3).select("call_id", "wav"), hop_s=0.5)
+
+
+# ---- whole calls -------------------------------------------------------------------------------------------------------
+
+
+def _tracked(spark, timed: bool = False):
+    """Made-up calls of all scenarios, tracked from their sound, script and carrier log: (tracked, gold turns, gold events, calls)."""
+    from callweave.operators import engine
+    from callweave.sources import synth
+
+    calls = cut(synth.corpus(spark, 3))
+    turns = calls.select("call_id", F.posexplode("turns").alias("turn_id", "x")).select("call_id", "turn_id", "x.*")
+    events = calls.select("call_id", F.explode("events").alias("x")).select("call_id", F.col("x.t_s").alias("t"), F.col("x.type").alias("kind"), F.col("x.outcome").alias("tag"))
+    carrier = calls.select("call_id", F.explode("telephony").alias("x")).select("call_id", "x.t_s", "x.kind")
+    tracked = engine.track_calls(calls.select("call_id", "wav"), turns.filter("text IS NOT NULL").select("call_id", "start_s", "end_s", "text"), carrier, timed=timed)
+    return tracked, turns, events, calls
+
+
+@query()
+def track_hops(spark, d):
+    """One row per hop of every call: state, probabilities, speaker, text, sub-label, evidence (no input table)."""
+    return _tracked(spark)[0].hops.drop("latency_ms", "row_id")
+
+
+@query()
+def track_events(spark, d):
+    return _tracked(spark)[0].events
+
+
+@query()
+def track_segments(spark, d):
+    return _tracked(spark)[0].segments.drop("best_row")
+
+
+@query()
+def track_report(spark, d):
+    """Pooled evaluation of the tracked calls against their gold; times are left out, for they differ from run to run."""
+    from callweave.operators import engine
+
+    tracked, turns, events, _ = _tracked(spark)
+    return engine.report(tracked, turns, events).filter("section != 'latency'")
+
+
+@query()
+def trained_head(spark, d):
+    """A head trained on the tracked calls' scalars, by call, with temperature: accuracy, macro F1 and calibration of both parts."""
+    from callweave.operators import engine
+
+    tracked, turns, _, calls = _tracked(spark)
+    return engine.train_head(tracked.observations, turns, calls.select("call_id", "scenario"))[1]

@@ -42,6 +42,8 @@ MARGIN = 5.0
 GAIN_EACH, GAIN, GAIN_UTF8 = 1.0, 4.0, -0.5
 #: What a word by itself must gain altogether, of chains between encodings of one byte and of chains from UTF-8.
 GAIN_WORD, GAIN_WORD_UTF8 = 9.0, 0.0
+#: Segments and words that a worker remembers.
+REMEMBERED = 100_000
 NON_ASCII = r"[^\x00-\x7f]"
 
 # Fixed values: (encoding the text was in, encoding it was read as), one pair per step.
@@ -64,6 +66,10 @@ CHAINS: tuple[tuple[tuple[str, str], ...], ...] = (
 SEGMENT = re.compile(r"[^\n]*?(?:[.!?…](?=\s)|\n|$)\s*")
 HIGH = re.compile(NON_ASCII)
 WORD = re.compile(r"(\s+)")
+CONTROL = re.compile("[\x80-\x9f]")
+#: A non-ASCII character by itself: UTF-8 read as anything else never leaves one, for its characters have two bytes or more.
+ALONE = re.compile(r"(?<![^\x00-\x7f])[^\x00-\x7f](?![^\x00-\x7f])")
+FROM_UTF8 = [chain[-1][0] == "utf-8" for chain in CHAINS]
 DIGIT = re.compile("[0-9]")
 
 
@@ -82,8 +88,11 @@ def to_bytes(text: str, codec: str) -> bytes | None:
     try:
         if codec == "utf-8":
             return text.encode("utf-8")
-        back = _tables(codec)[1]
-        return bytes(map(back.__getitem__, text))
+        try:
+            return text.encode(codec)
+        except UnicodeEncodeError:
+            # bytes that the encoding leaves undefined stand as control characters
+            return bytes(map(_tables(codec)[1].__getitem__, text)) if CONTROL.search(text) else None
     except (KeyError, UnicodeEncodeError):
         return None
 
@@ -91,9 +100,9 @@ def to_bytes(text: str, codec: str) -> bytes | None:
 def from_bytes(data: bytes, codec: str) -> str | None:
     """Strict decoding, None where the bytes do not fit."""
     try:
-        return data.decode("utf-8") if codec == "utf-8" else "".join(map(_tables(codec)[0].__getitem__, data))
+        return data.decode(codec)
     except UnicodeDecodeError:
-        return None
+        return None if codec == "utf-8" else "".join(map(_tables(codec)[0].__getitem__, data))
 
 
 def garble(text: str, chain: tuple[tuple[str, str], ...]) -> str | None:
@@ -153,6 +162,9 @@ class ChainClassifier:
 
     def __init__(self, logs: np.ndarray, pairs: np.ndarray):
         self.logs, self.pairs = logs, pairs
+        # what was found before: of segments, and of words
+        self.segments: dict[str, Found] = {}
+        self.words: dict[str, tuple[int, str] | None] = {}
 
     @classmethod
     def fit(cls, seen: dict[str, int], pairs: dict[int, int] | None = None) -> ChainClassifier | None:
@@ -205,7 +217,8 @@ def _tried(parts: list[str], model: ChainClassifier) -> list[tuple[int, int, str
     """(part, chain, restored text, gain in plausibility) of every chain that is likely enough and inverts strictly."""
     scores, before = model.scores([p.strip() for p in parts]), model.plausible([p.strip() for p in parts])
     i, k = np.nonzero(scores[:, 1:] > scores[:, :1] - MARGIN)
-    todo = [(int(i), int(k), got) for i, k in zip(i, k) if (got := restore(parts[i], CHAINS[k])) is not None and got != parts[i]]
+    alone = [ALONE.search(p) is not None for p in parts]
+    todo = [(i, k, got) for i, k in zip(i.tolist(), k.tolist()) if not (FROM_UTF8[k] and alone[i]) and (got := restore(parts[i], CHAINS[k])) is not None and got != parts[i]]
     after = model.plausible([t.strip() for _, _, t in todo]) if todo else []
     return [(i, k, text, float(now - before[i])) for (i, k, text), now in zip(todo, after)]
 
@@ -222,27 +235,39 @@ def _best(parts: list[str], tried: list[tuple[int, int, str, float]], least: flo
     return out
 
 
-def repair(parts: list[str], model: ChainClassifier) -> list[tuple[list[int], str] | None]:
-    """For segments: the numbers of the chains and the restored segment, None for clean ones. A segment that no chain explains as a whole is repaired word by word."""
-    whole = _best(parts, _tried(parts, model), GAIN, GAIN_UTF8)
-    out: list[tuple[list[int], str] | None] = [([whole[i][0]], whole[i][1]) if i in whole else None for i in range(len(parts))]
-    split = {i: WORD.split(p) for i, p in enumerate(parts) if i not in whole}
-    # a segment of one word was tried already; equal words are tried once
-    words = list(dict.fromkeys(w for ws in split.values() if sum(bool(w.strip()) for w in ws) > 1 for w in ws if HIGH.search(w)))
-    if not words:
-        return out
-    fixed = {words[j]: got for j, got in _best(words, _tried(words, model), GAIN_WORD, GAIN_WORD_UTF8).items()}
-    for i, ws in split.items():
-        found = [fixed[w] for w in ws if w in fixed]
-        if found and len([w for w in ws if w.strip()]) > 1:
-            out[i] = (sorted({k for k, _ in found}), "".join(fixed[w][1] if w in fixed else w for w in ws))
+Found = tuple[list[int], str] | None
+
+
+def repair(parts: list[str], model: ChainClassifier) -> list[Found]:
+    """For segments: the numbers of the chains and the restored segment, None for clean ones. A segment that no chain explains as a whole is repaired word by word. Segments and words that were seen before are remembered by the model."""
+    known, fixed = model.segments, model.words
+    new = [p for p in dict.fromkeys(parts) if p not in known]
+    whole = _best(new, _tried(new, model), GAIN, GAIN_UTF8) if new else {}
+    # a segment of one word was tried already
+    split = {i: ws for i, p in enumerate(new) if i not in whole and (ws := [w for w in p.split() if not w.isascii()]) and ws != [p.strip()]}
+    words = [w for w in dict.fromkeys(w for ws in split.values() for w in ws) if w not in fixed]
+    if words:
+        best = _best(words, _tried(words, model), GAIN_WORD, GAIN_WORD_UTF8)
+        fixed.update((w, best.get(j)) for j, w in enumerate(words))
+    for i, p in enumerate(new):
+        found = [] if i in whole else [f for w in split.get(i, ()) if (f := fixed[w])]
+        if i in whole:
+            known[p] = ([whole[i][0]], whole[i][1])
+        elif found:
+            known[p] = (sorted({k for k, _ in found}), "".join(f[1] if (f := fixed.get(w)) else w for w in WORD.split(p)))
+        else:
+            known[p] = None
+    out = [known[p] for p in parts]
+    for memory in (known, fixed):
+        if len(memory) > REMEMBERED:
+            memory.clear()
     return out
 
 
 def scan(texts: list[str], model: ChainClassifier | None) -> list[tuple[bool, bool, str, str]]:
     """Per text: garbled, restorable (nothing lost), the chains found, the text with garbled segments restored."""
-    pieces = [segments(t) if t and HIGH.search(t) else [] for t in texts]
-    flat = [(i, j) for i, parts in enumerate(pieces) for j, s in enumerate(parts) if HIGH.search(s)]
+    pieces = [segments(t) if t and not t.isascii() else [] for t in texts]
+    flat = [(i, j) for i, parts in enumerate(pieces) for j, s in enumerate(parts) if not s.isascii()]
     found = repair([pieces[i][j] for i, j in flat], model) if model and flat else [None] * len(flat)
     chains: list[set[int]] = [set() for _ in texts]
     for (i, j), got in zip(flat, found):
@@ -262,7 +287,7 @@ _UTF8 = [c for c in CHAINS if len(c) == 1 and c[0][0] == "utf-8"]
 
 def clean(segment: str) -> bool:
     """Whether a segment may be trained on: nothing lost, no control characters, no UTF-8 read as something else."""
-    return "\ufffd" not in segment and not any("\x80" <= c <= "\x9f" for c in segment) and not any(decodes(segment, c) for c in _UTF8)
+    return "\ufffd" not in segment and not CONTROL.search(segment) and (ALONE.search(segment) is not None or not any(decodes(segment, c) for c in _UTF8))
 
 
 def key_of(segment: str) -> int:
@@ -276,10 +301,11 @@ class Survey:
         self.most, self.pairs = most, np.zeros(1 << PAIR_BITS, np.int64)
         self.kept: dict[str, tuple[int, int]] = {}
         self.limit = 1 << 63
+        self.verdicts: dict[str, bool] = {}
 
     def add(self, texts: list[str | None]) -> None:
-        found = Counter(DIGIT.sub("0", s.strip()) for t in texts if t for s in segments(t) if HIGH.search(s))
-        good = {s: n for s, n in found.items() if s in self.kept or clean(s)}
+        found = Counter(DIGIT.sub("0", s.strip()) for t, m in Counter(t for t in texts if t).items() for s in segments(t) * m if not s.isascii())
+        good = {s: n for s, n in found.items() if self.judged(s)}
         if not good:
             return
         code, owner = _pairs(list(good))
@@ -291,6 +317,14 @@ class Survey:
         if len(self.kept) > 2 * self.most:
             self.shrink()
 
+    def judged(self, segment: str) -> bool:
+        got = self.verdicts.get(segment)
+        if got is None:
+            if len(self.verdicts) >= REMEMBERED:
+                self.verdicts.clear()
+            got = self.verdicts[segment] = clean(segment)
+        return got
+
     def shrink(self) -> None:
         """Keep the smallest keys. What is left out has a larger key than all that is kept, so counts of what is kept are whole."""
         self.kept = dict(sorted(self.kept.items(), key=lambda x: (x[1][0], x[0]))[: self.most])

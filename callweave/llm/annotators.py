@@ -55,7 +55,9 @@ class CommunityConfig:
     diagonal: float = 4.0
     off: float = 0.5
     most_rounds: int = 40
+    #: Parts by which the classes' expected numbers of items and the types' sums may still move in the last round.
     settled: float = 1e-4
+    settled_types: float = 0.01
 
 
 def class_name(label: Column) -> Column:
@@ -128,8 +130,8 @@ def class_prior(mass: np.ndarray) -> np.ndarray:
 
 def settled(mass: np.ndarray, before: np.ndarray, sums: np.ndarray, sums_before: np.ndarray, config: CommunityConfig) -> bool:
     """Whether neither the classes' expected numbers of items nor the types' sums moved by more than a small part."""
-    moved = lambda a, b: np.abs(a - b).sum() <= config.settled * max(1.0, np.abs(a).sum())
-    return moved(mass, before) and moved(sums, sums_before)
+    moved = lambda a, b, part: np.abs(a - b).sum() <= part * max(1.0, np.abs(a).sum())
+    return moved(mass, before, config.settled) and moved(sums, sums_before, config.settled_types)
 
 
 def community_means(sums: np.ndarray, config: CommunityConfig) -> np.ndarray:

@@ -17,14 +17,11 @@ from callweave.functions.numbers import rounded
 from callweave.operators import ordered
 from callweave.operators.intervals import interval_join
 from callweave.operators.sequence import ordered_fold
-from callweave.session import shuffle_partitions
 
 #: Labelers whose vote breaks ties, most trusted first (fixed value).
 TIEBREAK = ("asr_llm", "gpt_audio", "gemini")
 #: Grid cells that are voted on together (a minute of cells of 250 ms).
 GRID_BLOCK = 240
-#: Distinct labels a grid vote can tell apart.
-MOST_LABELS = 1_000
 
 
 def _winner(votes: DataFrame, keys: Sequence[str], tiebreak: Sequence[str]) -> DataFrame:
@@ -37,53 +34,57 @@ def _winner(votes: DataFrame, keys: Sequence[str], tiebreak: Sequence[str]) -> D
 
 
 def grid_vote(segments: DataFrame, calls: DataFrame, cell_s: float = 0.25, tiebreak: Sequence[str] = TIEBREAK) -> DataFrame:
-    """(call_id, frame, label, agreement, n_voters): majority per grid cell; a segment covers every cell it touches, later segments of a labeler overwrite earlier ones."""
-    # segments are cut at blocks of the grid and shuffled once by (call, block); all later steps keep that partitioning
-    per = GRID_BLOCK
-    keys = ["call_id", "block"]
+    """(call_id, frame, label, agreement, n_voters): majority per grid cell; a segment covers every cell it touches, later segments of a labeler overwrite earlier ones.
+
+    Cells between two neighbouring boundaries of any segment have the same votes, so votes are counted once per such
+    stretch, within blocks of the grid; stretches become cells at the end. Any number of labels and labelers.
+    """
+    per, keys = GRID_BLOCK, ["call_id", "block"]
     n = F.ceil(F.col("duration_s") / cell_s).cast("int")
-    block_end = F.least(n, (F.col("block") + 1) * per)
     lo, hi = F.greatest(F.lit(0), F.floor(F.col("start") / cell_s)).cast("int"), F.least(n, F.ceil(F.col("end") / cell_s).cast("int"))
-    # labels as numbers in order, so that every aggregate is one long and hash aggregation does without sorting
-    labels = [r[0] for r in segments.filter("label IS NOT NULL").select("label").distinct().orderBy("label").limit(MOST_LABELS + 1).collect()]
-    if len(labels) > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} labels")
-    names = F.array(*map(F.lit, labels)) if labels else F.array().cast("array<string>")
-    code = F.coalesce(F.array_position(names, F.col("label")), F.lit(0))
-    trust = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, tiebreak)), F.col("labeler")), F.lit(0)), F.lit(1023))
-    spread = segments.withColumns({"lo": lo, "hi": hi}).filter("hi > lo").select("call_id", "labeler", (F.col("seq").cast("bigint") * 1024 + code).alias("last"), trust.alias("trust"), "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / per).cast("int"), F.floor((F.col("hi") - 1) / per).cast("int"))).alias("block"))
-    # every cell of a call is held by nobody (code 0) as well, so that no join brings in the cells without votes
-    spine = calls.filter("duration_s > 0").select("call_id", F.lit("").alias("labeler"), F.lit(0).cast("bigint").alias("last"), F.lit(1023).alias("trust"), F.lit(0).alias("lo"), n.alias("hi"), F.explode(F.sequence(F.lit(0), F.floor((n - 1) / per).cast("int"))).alias("block"))
-    both = spread.withColumns({"trust": F.col("trust").cast("int")}).unionByName(spine).repartition(shuffle_partitions(segments.sparkSession), *keys)
-    cells = both.select(*keys, "labeler", "trust", "last", F.explode(F.sequence(F.greatest("lo", F.col("block") * per), F.least("hi", (F.col("block") + 1) * per) - 1)).alias("frame"))
-    held = cells.groupBy(*keys, "frame", "labeler", "trust").agg((F.max("last") % 1024).alias("code"))
-    counted = held.groupBy(*keys, "frame", "code").agg(F.count(F.lit(1)).alias("n"), F.min("trust").alias("trust"))
-    cast = F.col("code") > 0
-    best = (F.col("n") * 1024 + (1023 - F.col("trust"))) * 1024 + (1023 - F.col("code"))
-    won = counted.groupBy(*keys, "frame").agg(F.max(F.when(cast, best)).alias("best"), F.sum(F.when(cast, F.col("n"))).alias("n_voters"))
-    return won.select("call_id", "frame", F.coalesce(F.element_at(names, (1023 - F.col("best") % 1024).cast("int")), F.lit("unknown")).alias("label"), F.coalesce(F.shiftright("best", 20) / F.col("n_voters"), F.lit(0.0)).alias("agreement"), F.coalesce("n_voters", F.lit(0)).alias("n_voters"))
+    block_of = lambda c: F.floor(c / per).cast("int")
+    pieces = segments.withColumns({"lo": lo, "hi": hi}).filter("hi > lo").select("call_id", "labeler", "label", "seq", "lo", "hi", F.explode(F.sequence(block_of(F.col("lo")), block_of(F.col("hi") - 1))).alias("block"))
+    pieces = pieces.withColumns({"lo": F.greatest("lo", F.col("block") * per), "hi": F.least("hi", (F.col("block") + 1) * per)})
+    whole = calls.filter("duration_s > 0").select("call_id", n.alias("n"), F.explode(F.sequence(F.lit(0), block_of(n - 1))).alias("block")).select(*keys, F.explode(F.array(F.col("block") * per, F.least("n", (F.col("block") + 1) * per))).alias("at"))
+    edges = pieces.select(*keys, F.explode(F.array("lo", "hi")).alias("at")).unionByName(whole).distinct()
+    stretches = edges.withColumn("until", F.lead("at").over(W.partitionBy(*keys).orderBy("at"))).filter("until IS NOT NULL")
+    held = stretches.join(pieces, keys).filter("at >= lo AND at < hi").groupBy(*keys, "at", "labeler").agg(F.max_by("label", "seq").alias("label"))
+    voted = stretches.join(_winner(held, [*keys, "at"], tiebreak), [*keys, "at"], "left")
+    return voted.select("call_id", F.explode(F.sequence(F.col("at"), F.col("until") - 1)).alias("frame"), F.coalesce("label", F.lit("unknown")).alias("label"), F.coalesce("agreement", F.lit(0.0)).alias("agreement"), F.coalesce("n_voters", F.lit(0)).alias("n_voters"))
 
 
 def collapse_grid(frames: DataFrame, cell_s: float = 0.25) -> DataFrame:
     """Runs of equal labels on the grid: start, end, mean agreement (two decimals), least voters."""
     runs = ordered.runs(frames, ["call_id"], ["frame"], F.col("label"), ordered.BIN_COUNT)
-    return runs.groupBy("call_id", "_run").agg(F.min("label").alias("label"), (F.min("frame") * cell_s).alias("start"), ((F.max("frame") + 1) * cell_s).alias("end"), F.round(F.avg("agreement"), 2).alias("agreement"), F.min("n_voters").alias("min_voters")).drop("_run")
+    return runs.groupBy("call_id", "_run").agg(F.min("label").alias("label"), (F.min("frame") * cell_s).alias("start"), ((F.max("frame") + 1) * cell_s).alias("end"), rounded(F.avg("agreement"), 2).alias("agreement"), F.min("n_voters").alias("min_voters")).drop("_run")
 
 
 def refinement_cuts(segments: DataFrame, calls: DataFrame, least_s: float = 0.05) -> DataFrame:
-    """(call_id, cuts): all boundaries within 0..duration with both ends; a boundary closer than least_s to the last kept one is left out; the last cut is the duration."""
+    """(call_id, k, cut, duration_s): all boundaries within 0..duration with both ends; a boundary closer than least_s to the last kept one is left out; the last cut is the duration. Distinct boundaries stream through a fold of constant memory."""
     ends = segments.select("call_id", "duration_s", F.explode(F.array("start", "end")).alias("b")).filter("b >= 0 AND b <= duration_s")
-    all_ = ends.select("call_id", "b", "duration_s").unionByName(calls.select("call_id", F.lit(0.0).alias("b"), "duration_s")).unionByName(calls.select("call_id", F.col("duration_s").alias("b"), "duration_s"))
-    sorted_ = all_.groupBy("call_id").agg(F.array_sort(F.collect_set("b")).alias("bs"), F.max("duration_s").alias("duration_s"))
-    kept = F.aggregate("bs", F.array().cast("array<double>"), lambda acc, b: F.when((F.size(acc) == 0) | (b - F.element_at(acc, -1) >= least_s), F.concat(acc, F.array(b))).otherwise(acc))
-    fixed = F.when(F.element_at("k", -1) < F.col("duration_s"), F.concat(F.slice("k", 1, F.size("k") - 1), F.array("duration_s"))).otherwise(F.col("k"))
-    return sorted_.withColumn("k", kept).select("call_id", fixed.alias("cuts"), "duration_s")
+    both = calls.select("call_id", "duration_s", F.explode(F.array(F.lit(0.0), "duration_s")).alias("b"))
+    bounds = ends.unionByName(both.select(*ends.columns)).groupBy("call_id", "b").agg(F.max("duration_s").alias("duration_s"))
+
+    # the last kept cut waits: at the end it gives way to the duration
+    def step(s: dict, row: list) -> list[tuple]:
+        b, s["d"] = row
+        if "last" not in s:
+            s.update(k=0, last=b)
+        elif b - s["last"] >= least_s:
+            s["k"], held, s["last"] = s["k"] + 1, s["last"], b
+            return [(s["k"] - 1, held, s["d"])]
+        return []
+
+    def finish(s: dict) -> list[tuple]:
+        return [(s["k"], s["d"] if s["last"] < s["d"] else s["last"], s["d"])]
+
+    return ordered_fold(bounds, "call_id", ["b"], ["b", "duration_s"], dict, step, finish, "call_id string, k int, cut double, duration_s double")
 
 
 def refined_votes(segments: DataFrame, calls: DataFrame, least_s: float = 0.05) -> tuple[DataFrame, DataFrame]:
     """Intervals between cuts (call_id, k, start, end, mid), and per interval and labeler the label, speaker and confidence of its first segment at the middle."""
-    cuts = refinement_cuts(segments, calls, least_s)
-    spans = cuts.select("call_id", F.posexplode(F.slice("cuts", 1, F.greatest(F.size("cuts") - 1, F.lit(0)))).alias("k", "start"), "cuts").select("call_id", "k", "start", F.element_at("cuts", F.col("k") + 2).alias("end"))
+    cuts = ordered.before(refinement_cuts(segments, calls, least_s), ["call_id"], ["k"], {"start": F.col("cut")}, ordered.BIN_COUNT)
+    spans = cuts.filter("k > 0").select("call_id", (F.col("k") - 1).alias("k"), "start", F.col("cut").alias("end"))
     spans = spans.withColumn("mid", (F.col("start") + F.col("end")) / 2)
     at = interval_join(spans, segments.select("call_id", "labeler", "seq", F.col("start").alias("s"), F.col("end").alias("e"), "label", "human_id", "confidence"), ["call_id"], "mid", "s", "e")
     first = at.groupBy("call_id", "k", "labeler").agg(F.min_by(F.struct("label", "human_id", "confidence"), "seq").alias("v"))
@@ -96,13 +97,30 @@ def vote_intervals(segments: DataFrame, calls: DataFrame, least_s: float = 0.05,
 
 
 def tally(spans: DataFrame, votes: DataFrame, tiebreak: Sequence[str] = TIEBREAK) -> DataFrame:
-    """vote_intervals from intervals and votes that are there already."""
-    won = _winner(votes, ["call_id", "k"], tiebreak)
-    maps = votes.groupBy("call_id", "k").agg(*[F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("labeler", v))))).alias(n) for n, c, v in (("votes", "label", F.col("label")), ("speakers", "human_id", F.col("human_id")), ("confidences", "confidence", F.round("confidence", 2)))])
-    out = spans.join(won, ["call_id", "k"], "left").join(maps, ["call_id", "k"], "left")
+    """vote_intervals from intervals and votes that are there already. An interval has one vote a labeler, so its votes are one small array: counted and looked up in place, after one shuffle."""
+    one = votes.groupBy("call_id", "k").agg(F.array_sort(F.collect_list(F.struct("labeler", "label", "human_id", F.round("confidence", 2).alias("confidence")))).alias("v"))
+    cast = F.filter("v", lambda x: x["label"].isNotNull())
+    labels = F.array_distinct(F.transform("cast", lambda x: x["label"]))
+    trust = F.array(*map(F.lit, tiebreak))
+    rank = lambda x: F.coalesce(F.nullif(F.array_position(trust, x["labeler"]), F.lit(0)), F.lit(1 << 30))
+    counted = F.transform(labels, lambda y: F.struct((-F.size(F.filter("cast", lambda x: x["label"] == y))).alias("n"), F.array_min(F.transform(F.filter("cast", lambda x: x["label"] == y), rank)).alias("rank"), y.alias("label")))
+    won = one.withColumn("cast", cast).withColumn("counted", F.array_sort(counted)).withColumn("best", F.get("counted", F.lit(0)))
+    table = lambda c: F.map_from_entries(F.transform(F.filter("v", lambda x: x[c].isNotNull()), lambda x: F.struct(x["labeler"], x[c])))
+    won = won.select(
+        "call_id", "k", F.col("best.label").alias("label"), (-F.col("best.n") / F.size("cast")).alias("agreement"), F.when(F.size("cast") > 0, F.size("cast")).cast("bigint").alias("n_voters"),
+        (F.size(F.filter("counted", lambda x: x["n"] == F.col("best.n"))) > 1).alias("tie"), table("label").alias("votes"), table("human_id").alias("speakers"), table("confidence").alias("confidences"),
+    )
+    out = spans.join(won, ["call_id", "k"], "left")
     return out.select("call_id", "k", "start", "end", F.coalesce("label", F.lit("unknown")).alias("label"), F.coalesce("agreement", F.lit(0.0)).alias("agreement"), F.coalesce("n_voters", F.lit(0)).alias("n_voters"), F.coalesce("tie", F.lit(False)).alias("tie"), "votes", "speakers", "confidences")
 
 
+def trusted_speaker(intervals: DataFrame, tiebreak: Sequence[str] = TIEBREAK) -> DataFrame:
+    """intervals of tally() with the speaker that the most trusted labeler names as human_id: what there is before speakers are resolved."""
+    ids = F.map_entries("speakers")
+    order = F.transform(ids, lambda x: F.struct(F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, tiebreak)), x["key"]), F.lit(0)), F.lit(1 << 30)).alias("rank"), x["key"].alias("labeler"), x["value"].alias("who")))
+    return intervals.withColumns({"human_id": F.array_min(order)["who"], "speaker_change_votes": F.lit(None).cast("string")})
+
+
 def informative_labelers(votes: DataFrame) -> DataFrame:
     """(call_id, labeler) of labelers that name more than one speaker in a call."""
     return votes.filter("human_id IS NOT NULL").groupBy("call_id", "labeler").agg(F.count_distinct("human_id").alias("n_ids")).filter("n_ids > 1")

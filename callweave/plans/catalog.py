@@ -127,16 +127,16 @@ voted AS (SELECT call_id, frame, coalesce(label, 'unknown') AS label, coalesce(n
 """
 
 
-@query(_GRID + "SELECT label, n_voters, round(agreement, 6) AS agreement, count(*) AS cells FROM voted GROUP BY 1, 2, 3")
+@query(_GRID + "SELECT call_id, frame, label, n_voters, round(agreement, 6) AS agreement FROM voted")
 def grid_vote(spark, d):
     got = consensus.grid_vote(segments(spark, d), calls(spark, d))
-    return got.groupBy("label", F.col("n_voters").cast("bigint").alias("n_voters"), F.round("agreement", 6).alias("agreement")).agg(F.count(F.lit(1)).alias("cells"))
+    return got.select("call_id", F.col("frame").cast("bigint").alias("frame"), "label", F.col("n_voters").cast("bigint").alias("n_voters"), F.round("agreement", 6).alias("agreement"))
 
 
 @query(_GRID + """, m AS (SELECT *, CASE WHEN lag(label) OVER w = label THEN 0 ELSE 1 END AS st FROM voted WINDOW w AS (PARTITION BY call_id ORDER BY frame)), r AS (SELECT *, sum(st) OVER (PARTITION BY call_id ORDER BY frame) AS run FROM m)
-SELECT call_id, min(label) AS label, min(frame) * 0.25 AS start, (max(frame) + 1) * 0.25 AS "end", min(n_voters) AS min_voters FROM r GROUP BY call_id, run""")
+SELECT call_id, min(label) AS label, min(frame) * 0.25 AS start, (max(frame) + 1) * 0.25 AS "end", floor(avg(agreement) * 100.0 + 0.5) / 100.0 AS agreement, min(n_voters) AS min_voters FROM r GROUP BY call_id, run""")
 def grid_segments(spark, d):
-    return consensus.collapse_grid(consensus.grid_vote(segments(spark, d), calls(spark, d))).select("call_id", "label", "start", "end", F.col("min_voters").cast("bigint").alias("min_voters"))
+    return consensus.collapse_grid(consensus.grid_vote(segments(spark, d), calls(spark, d))).select("call_id", "label", "start", "end", "agreement", F.col("min_voters").cast("bigint").alias("min_voters"))
 
 
 _CUTS = "WITH " + SEG + """, b AS (SELECT call_id, s AS b FROM seg WHERE s BETWEEN 0 AND dur UNION SELECT call_id, e FROM seg WHERE e BETWEEN 0 AND dur UNION SELECT call_id, 0.0 FROM calls UNION SELECT call_id, dur FROM calls),
@@ -148,7 +148,7 @@ cuts AS (SELECT call_id, CASE WHEN k[-1] < dur THEN k[:-2] || [dur] ELSE k END A
 
 @query(_CUTS + "SELECT call_id, i AS k, cuts[i + 1] AS cut FROM cuts, unnest(range(0, len(cuts))) t(i)")
 def common_refinement_cuts(spark, d):
-    return consensus.refinement_cuts(segments(spark, d), calls(spark, d)).select("call_id", F.posexplode("cuts").alias("k", "cut")).select("call_id", F.col("k").cast("bigint").alias("k"), "cut")
+    return consensus.refinement_cuts(segments(spark, d), calls(spark, d)).select("call_id", F.col("k").cast("bigint").alias("k"), "cut")
 
 
 _VOTE = _CUTS.rstrip() + f""", spans AS (SELECT call_id, i AS k, cuts[i + 1] AS s, cuts[i + 2] AS e, (cuts[i + 1] + cuts[i + 2]) / 2 AS mid FROM cuts, unnest(range(0, len(cuts) - 1)) t(i)),
@@ -159,10 +159,13 @@ voted AS (SELECT call_id, k, s, e, coalesce(label, 'unknown') AS label, coalesce
 """
 
 
-@query(_VOTE + """SELECT call_id, k, s AS start, e AS "end", label, floor((agreement) * 1000000.0 + 0.5) / 1000000.0 AS agreement, n_voters, tie FROM voted""")
+@query(_VOTE.rstrip() + """, maps AS (SELECT call_id, k, string_agg(labeler || '=' || label, ';' ORDER BY labeler) FILTER (label IS NOT NULL) AS votes, string_agg(labeler || '=' || human_id, ';' ORDER BY labeler) FILTER (human_id IS NOT NULL) AS speakers, CAST(count(confidence) AS BIGINT) AS n_confidences, max(round(confidence, 2)) AS surest FROM votes GROUP BY 1, 2)
+SELECT call_id, k, s AS start, e AS "end", label, floor((agreement) * 1000000.0 + 0.5) / 1000000.0 AS agreement, n_voters, tie, coalesce(maps.votes, '') AS votes, coalesce(maps.speakers, '') AS speakers, coalesce(n_confidences, 0) AS n_confidences, surest FROM voted LEFT JOIN maps USING (call_id, k)""")
 def ensemble_vote_intervals(spark, d):
     got = consensus.vote_intervals(segments(spark, d), calls(spark, d))
-    return got.select("call_id", F.col("k").cast("bigint").alias("k"), "start", "end", "label", _r("agreement"), F.col("n_voters").cast("bigint").alias("n_voters"), "tie")
+    # maps are shown as text, which every engine compares alike
+    listed = lambda c: F.coalesce(F.array_join(F.transform(F.map_entries(c), lambda x: F.concat_ws("=", x["key"], x["value"])), ";"), F.lit("")).alias(c)
+    return got.select("call_id", F.col("k").cast("bigint").alias("k"), "start", "end", "label", _r("agreement"), F.col("n_voters").cast("bigint").alias("n_voters"), "tie", listed("votes"), listed("speakers"), F.coalesce(F.size("confidences"), F.lit(0)).cast("bigint").alias("n_confidences"), F.array_max(F.map_values("confidences")).alias("surest"))
 
 
 @query(_VOTE + "SELECT call_id, labeler, count(DISTINCT human_id) AS n_ids FROM votes WHERE human_id IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT human_id) > 1")
@@ -187,14 +190,14 @@ def gold_segments(spark, d):
     return consensus.merge_intervals(_named(spark, d)).drop("speakers")
 
 
-_MERGED = _VOTE.rstrip() + """, m AS (SELECT *, CASE WHEN lag(label) OVER w = label THEN 0 ELSE 1 END AS st FROM voted WINDOW w AS (PARTITION BY call_id ORDER BY k)), r AS (SELECT *, sum(st) OVER (PARTITION BY call_id ORDER BY k) AS run FROM m),
-merged AS (SELECT call_id, min(label) AS label, floor((min(s)) * 100.0 + 0.5) / 100.0 AS start, floor((max(e)) * 100.0 + 0.5) / 100.0 AS "end", floor((sum(agreement * (e - s)) / sum(e - s)) * 1000.0 + 0.5) / 1000.0 AS agreement, min(n_voters) AS min_voters, bool_or(tie) AS has_tie FROM r GROUP BY call_id, run)
+_MERGED = _VOTE.rstrip() + f""", who AS (SELECT call_id, k, first(human_id ORDER BY {_TIE}, labeler) AS human_id FROM votes WHERE human_id IS NOT NULL GROUP BY 1, 2), spoken AS (SELECT voted.*, human_id FROM voted LEFT JOIN who USING (call_id, k)), m AS (SELECT *, CASE WHEN lag(label) OVER w = label AND lag(human_id) OVER w IS NOT DISTINCT FROM human_id THEN 0 ELSE 1 END AS st FROM spoken WINDOW w AS (PARTITION BY call_id ORDER BY k)), r AS (SELECT *, sum(st) OVER (PARTITION BY call_id ORDER BY k) AS run FROM m),
+merged AS (SELECT call_id, min(label) AS label, min(human_id) AS human_id, floor((min(s)) * 100.0 + 0.5) / 100.0 AS start, floor((max(e)) * 100.0 + 0.5) / 100.0 AS "end", floor((sum(agreement * (e - s)) / sum(e - s)) * 1000.0 + 0.5) / 1000.0 AS agreement, min(n_voters) AS min_voters, bool_or(tie) AS has_tie FROM r GROUP BY call_id, run)
 """
 
 
 def _merged(spark, d):
-    voted = consensus.vote_intervals(segments(spark, d), calls(spark, d)).withColumns({"human_id": F.lit(None).cast("string"), "speaker_change_votes": F.lit(None).cast("string")})
-    return consensus.merge_intervals(voted).select("call_id", "label", "start", "end", "agreement", F.col("min_voters").cast("bigint").alias("min_voters"), "has_tie")
+    voted = consensus.trusted_speaker(consensus.vote_intervals(segments(spark, d), calls(spark, d)))
+    return consensus.merge_intervals(voted).select("call_id", "label", "human_id", "start", "end", "agreement", F.col("min_voters").cast("bigint").alias("min_voters"), "has_tie")
 
 
 @query(_MERGED + "SELECT * FROM merged")
@@ -498,6 +501,44 @@ _MARK = ", ".join("'" + m.replace("'", "''") + "'" for m in lexicon.MARKERS)
 _LEX = f"""t AS (SELECT turn_id, {_NORM.format('text')} AS n, {_TOKENS.format('text')} AS ts FROM gold_turns)"""
 
 
+@query(f"""WITH {_LEX} SELECT turn_id, round({_score(lexicon.IVR)}, 6) AS ivr, round({_score(lexicon.HOLD)}, 6) AS hold, round({_score(lexicon.TRANSFER)}, 6) AS transfer, round({_score(lexicon.TRANSFER_FAIL)}, 6) AS transfer_fail,
+  round(least(1.0, 0.54 * least((CASE WHEN len(ts) > 0 THEN len(list_filter(ts, lambda w: w IN ({_MARK}))) / len(ts) ELSE 0 END) / 0.12, 1.0) + 0.7 * ({_score(lexicon.HUMAN)})), 6) AS spontaneous FROM t""")
+def lexicon_scores(spark, d):
+    n, ts = F.col("n"), F.col("ts")
+    t = table(spark, d, "gold_turns").select("turn_id", text.normalize(F.col("text")).alias("n"), text.tokens(F.col("text")).alias("ts"))
+    named = {"ivr": lexicon.IVR, "hold": lexicon.HOLD, "transfer": lexicon.TRANSFER, "transfer_fail": lexicon.TRANSFER_FAIL}
+    return t.select("turn_id", *[F.round(text.phrase_score(n, p), 6).alias(k) for k, p in named.items()], F.round(text.spontaneous_score(n, ts, lexicon.HUMAN, lexicon.MARKERS), 6).alias("spontaneous"))
+
+
+_FAMILY_ROWS = ", ".join("('{}', '{}')".format(k, p.replace("'", "''")) for k, ps in lexicon.FAMILIES.items() for p in ps)
+
+
+@query(f"""WITH {_LEX}, p(family, pattern) AS (VALUES {_FAMILY_ROWS}) SELECT family, pattern, count(*) AS n FROM t JOIN p ON regexp_matches(t.n, p.pattern) GROUP BY 1, 2""")
+def lexicon_hits(spark, d):
+    t = table(spark, d, "gold_turns").select(text.normalize(F.col("text")).alias("n"))
+    hits = [F.transform(text.phrase_hits(F.col("n"), ps), lambda x, k=k: F.struct(F.lit(k).alias("family"), x.alias("pattern"))) for k, ps in lexicon.FAMILIES.items()]
+    return t.select(F.explode(F.concat(*hits)).alias("x")).groupBy("x.family", "x.pattern").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""WITH t AS (SELECT turn_id, {_TOKENS.format('text')} AS ts FROM gold_turns)
+SELECT gram, count(*) AS n FROM (SELECT unnest(ts || list_transform(range(1, len(ts)), lambda i: ts[i] || '_' || ts[i + 1])) AS gram FROM t) GROUP BY 1""")
+def token_ngrams(spark, d):
+    return table(spark, d, "gold_turns").select(F.explode(text.ngrams(text.tokens(F.col("text")))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _hits(patterns: list[str]) -> str:
+    return "(" + " + ".join("CAST(regexp_matches(n, '{}') AS INTEGER)".format(p.replace("'", "''")) for p in patterns) + ")"
+
+
+def _score(patterns: list[str]) -> str:
+    h = _hits(patterns)
+    return f"CASE WHEN {h} > 0 THEN least(1.0, 0.55 + 0.2 * {h}) ELSE 0.0 END"
+
+
+_MARK = ", ".join("'" + m.replace("'", "''") + "'" for m in lexicon.MARKERS)
+_LEX = f"""t AS (SELECT turn_id, {_NORM.format('text')} AS n, {_TOKENS.format('text')} AS ts FROM gold_turns)"""
+
+
 @query(f"""WITH {_LEX} SELECT turn_id, round({_score(lexicon.IVR)}, 6) AS ivr, round({_score(lexicon.HOLD)}, 6) AS hold, round({_score(lexicon.TRANSFER)}, 6) AS transfer, round({_score(lexicon.TRANSFER_FAIL)}, 6) AS transfer_fail,
   round(least(1.0, 0.54 * least((CASE WHEN len(ts) > 0 THEN len(list_filter(ts, lambda w: w IN ({_MARK}))) / len(ts) ELSE 0 END) / 0.12, 1.0) + 0.7 * ({_score(lexicon.HUMAN)})), 6) AS spontaneous FROM t""")
 def lexicon_scores(spark, d):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,16 +48,22 @@ def segment_line(start: Column, end: Column, state: Column, sub: Column, who: Co
     return F.concat(F.format_string("%8.2f-%8.2f  ", start, end), F.concat_ws("/", state, sub), F.coalesce(F.concat(F.lit("  "), who), F.lit("")))
 
 
-def throttled(hops: list[dict], print_gap_s: float = 10.0) -> list[dict]:
-    """Hops worth printing: a new state, a wrong one, or print_gap_s since the last print."""
-    out, last_t, last_state = [], None, None
-    for h in hops:
-        wrong = h.get("gold") is not None and h["gold"] != h["state"]
-        if last_t is None or h["state"] != last_state or wrong or h["t_s"] - last_t >= print_gap_s:
-            out.append(h)
-            last_t = h["t_s"]
-        last_state = h["state"]
-    return out
+@dataclass
+class Shown:
+    """What a live view showed last."""
+
+    t: float | None = None
+    state: str | None = None
+    wall: float | None = None
+
+    def worth(self, t: float, state: str, gold: str | None, wall: float, print_gap_s: float = 10.0, wall_s: float = 8.0) -> bool:
+        """Whether a hop is worth showing: the first, a new state, a wrong one, print_gap_s of audio or wall_s of time since the last shown."""
+        wrong = gold is not None and gold == gold and gold != state
+        show = self.t is None or state != self.state or wrong or t - self.t >= print_gap_s or wall - self.wall >= wall_s
+        self.state = state
+        if show:
+            self.t, self.wall = t, wall
+        return show
 
 
 def stream_to_files(rows: DataFrame, path: str, checkpoint: str, kind: str = "json") -> StreamingQuery:

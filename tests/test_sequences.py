@@ -166,8 +166,8 @@ def test_vote_on_the_common_refinement(spark):
 
 def test_near_cuts_cascade(spark):
     s = spark.createDataFrame([("c", "x", i, a, b, "ivr", None, 0.5, 3.0) for i, (a, b) in enumerate([(0.0, 1.0), (1.02, 1.04), (1.06, 3.0)])], voting(spark)[0].schema)
-    got = consensus.refinement_cuts(s, spark.createDataFrame([("c", 3.0)], "call_id string, duration_s double")).first()["cuts"]
-    assert got == [0.0, 1.0, 1.06, 3.0]
+    got = consensus.refinement_cuts(s, spark.createDataFrame([("c", 3.0)], "call_id string, duration_s double")).orderBy("k").collect()
+    assert [(r["k"], r["cut"]) for r in got] == [(0, 0.0), (1, 1.0), (2, 1.06), (3, 3.0)]
 
 
 def test_scale_and_chunks(spark):

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from callweave.llm.hashing import HashTable
 
 US = 1_000_000
+#: Rows of both sides that a group holds on average, at most.
+GROUP_ROWS = 100_000
 
 
 class XFastTrie:
@@ -107,14 +109,15 @@ def _match(tolerance: int, bits: int, columns: list[str]):
 def nearest_in_time(queries: DataFrame, candidates: DataFrame, *, query_id: str, candidate_id: str, entity: str, time: str, tolerance_s: float, block_s: float = 600.0, groups: int | None = None) -> DataFrame:
     """(query_id, match_id, diff_us): for every query with a candidate within tolerance_s, the nearest one.
 
-    groups: tasks' keys, by default four per shuffle partition; blocks are spread over them by hash.
+    groups: tasks' keys, over which blocks are spread by hash; by default four per shuffle partition and one per GROUP_ROWS
+    rows at least, so that what a task holds does not grow with the data.
     """
     tolerance, block = round(tolerance_s * US), round(block_s * US)
     if block < 2 * tolerance:
         raise ValueError("block_s must be at least twice tolerance_s")
     bits = int(block + 2 * tolerance).bit_length()
     spark = queries.sparkSession
-    groups = groups or 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    groups = groups or max(4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")), (queries.count() + candidates.count()) // GROUP_ROWS)
 
     def keyed(df: DataFrame, ident: str) -> DataFrame:
         t = F.col(time)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 GROUP = 20_000
@@ -58,9 +59,10 @@ def pack(items: DataFrame, item: str, size: str, capacity: int, groups: int | No
     groups = groups or max(1, -(-items.count() // GROUP))
     sized = items.filter(F.col(size) > 0).select(F.col(item).alias("item"), F.col(size).cast("bigint").alias("n"))
     sized = sized.withColumn("g", F.pmod(F.xxhash64("item"), F.lit(groups)).cast("int"))
-    full = sized.filter(F.col("n") >= capacity).select("g", "item", F.explode(F.sequence(F.lit(0), (F.col("n") / capacity).cast("int") - 1)).alias("piece"))
-    # a repeated item row keeps its own containers through the row's number
-    alone = full.select(F.concat_ws("-", F.lit("full"), "g", "item", "piece", F.monotonically_increasing_id()).alias("container"), "item", "piece", F.lit(capacity).cast("bigint").alias("size"))
+    # a repeated item row keeps its own containers through its number among the item's rows
+    large = sized.filter(F.col("n") >= capacity).withColumn("copy", F.row_number().over(W.partitionBy("item").orderBy("n")))
+    full = large.select("g", "item", "copy", F.explode(F.sequence(F.lit(0), (F.col("n") / capacity).cast("int") - 1)).alias("piece"))
+    alone = full.select(F.concat_ws("-", F.lit("full"), "g", "item", "piece", "copy").alias("container"), "item", "piece", F.lit(capacity).cast("bigint").alias("size"))
     rest = sized.select("g", "item", F.floor(F.col("n") / capacity).cast("int").alias("piece"), (F.col("n") % capacity).alias("size")).filter("size > 0")
 
     def place(frame: pd.DataFrame) -> pd.DataFrame:

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from callweave.session import cut
+
 SUMMARY = pa.schema([("entity", pa.string()), ("state", pa.string()), *((k, pa.int64()) for k in ("first_us", "last_us", "events", "first_row_id"))])
 RUN_SCHEMA = "entity string, state string, first_us bigint, last_us bigint, events bigint, first_row_id bigint, piece bigint"
 
@@ -127,11 +129,12 @@ def collapse_runs(rows: DataFrame, *, entity: str, time: str, state: str, row_id
     )
     by = ["entity", "first_us"]
     ordered = (clean.repartitionByRange(chunks, *by) if chunks else clean.repartitionByRange(*by)).sortWithinPartitions(*by, "state")
-    local = ordered.mapInArrow(_chunk(gap), RUN_SCHEMA)
-    # inner runs have a piece of their own and are done; edge runs of an entity share piece -1: at most two per chunk
-    w = W.partitionBy("entity", "piece").orderBy("first_us")
+    # summaries are few beside the rows; they are used twice, so they are written
+    local = cut(ordered.mapInArrow(_chunk(gap), RUN_SCHEMA))
+    # inner runs of a chunk are done; its first and last run, at most two rows a chunk, are joined with their neighbours
+    w = W.partitionBy("entity").orderBy("first_us")
     breaks = (F.lag("state").over(w) != F.col("state")) | (F.col("first_us") - F.lag("last_us").over(w) > gap)
-    marked = local.withColumn("starts", F.coalesce(breaks, F.lit(True)).cast("int")).withColumn("run", F.sum("starts").over(w.rowsBetween(W.unboundedPreceding, 0)))
-    return marked.groupBy("entity", "piece", "run").agg(
-        F.min("state").alias("state"), F.min_by("first_row_id", "first_us").alias("first_row_id"), F.sum("events").alias("events"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us")
-    ).filter(F.col("events") >= least_events).select("entity", "state", "first_row_id", "events", "first_us", "last_us")
+    edges = local.filter("piece < 0").withColumn("starts", F.coalesce(breaks, F.lit(True)).cast("int")).withColumn("run", F.sum("starts").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    joined = edges.groupBy("entity", "run").agg(F.min("state").alias("state"), F.min_by("first_row_id", "first_us").alias("first_row_id"), F.sum("events").alias("events"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"))
+    names = ["entity", "state", "first_row_id", "events", "first_us", "last_us"]
+    return local.filter("piece >= 0").select(*names).unionByName(joined.select(*names)).filter(F.col("events") >= least_events)

@@ -383,26 +383,27 @@ def _hmm_sql() -> str:
     a = sequence.transition_matrix()
     raw = ", ".join("(" + " + ".join(f"acc.a[{i + 1}] * {a[i, j]!r}" for i in range(4)).replace("np.float64(", "").replace(")", "") + f") * greatest(x.b[{j + 1}], 1e-4)" for j in range(4))
     return "WITH " + HOPS + f""", em AS (SELECT call_id, row_id, t_s, list_transform(['ivr', 'human', 'hold', 'other'], lambda s: CASE WHEN s = state THEN c ELSE (1 - c) / 3 END) AS b FROM (SELECT *, coalesce(least(greatest(confidence, 0.0), 1.0), 0.25) AS c FROM hops)),
-seqs AS (SELECT call_id, list({{'r': row_id, 'b': b, 'a': [0.45, 0.2, 0.2, 0.15], 's': 0, 'p': CAST([] AS DOUBLE[])}} ORDER BY t_s, row_id) AS xs FROM em GROUP BY 1)
-SELECT row_id, round(p[1], 6) AS p_ivr, round(p[2], 6) AS p_human, round(p[3], 6) AS p_hold, round(p[4], 6) AS p_other, ['ivr', 'human', 'hold', 'other'][s] AS state FROM (WITH RECURSIVE walk AS (
+seqs AS (SELECT call_id, list({{'r': row_id, 't': t_s, 'b': b, 'a': [0.45, 0.2, 0.2, 0.15], 's': 0, 'e': CAST(0 AS DOUBLE), 'p': CAST([] AS DOUBLE[])}} ORDER BY t_s, row_id) AS xs FROM em GROUP BY 1)
+SELECT row_id, round(p[1], 6) AS p_ivr, round(p[2], 6) AS p_human, round(p[3], 6) AS p_hold, round(p[4], 6) AS p_other, ['ivr', 'human', 'hold', 'other'][s] AS state, round(p[s], 6) AS confidence, round(greatest(0, t - e), 3) AS dwell_s FROM (WITH RECURSIVE walk AS (
   SELECT call_id, 1 AS i, list_transform([xs[1]], lambda x: {_hmm_step(raw, first=True)})[1] AS v FROM seqs
   UNION ALL SELECT w.call_id, w.i + 1, list_transform([{{'acc': w.v, 'x': q.xs[w.i + 1]}}], lambda z: {_hmm_step(raw.replace('acc.', 'z.acc.').replace('x.b', 'z.x.b'), first=False)})[1] FROM walk w JOIN seqs q ON q.call_id = w.call_id AND w.i < len(q.xs))
-  SELECT v.r AS row_id, v.p AS p, v.s AS s FROM walk)"""
+  SELECT v.r AS row_id, v.p AS p, v.s AS s, v.t AS t, v.e AS e FROM walk)"""
 
 
 def _hmm_step(raw: str, first: bool) -> str:
     if first:
-        raw, r, b, s0 = raw.replace("acc.a", "x.a"), "x.r", "x.b", "0"
+        raw, r, t, b, s0, e0 = raw.replace("acc.a", "x.a"), "x.r", "x.t", "x.b", "0", "x.e"
     else:
-        r, b, s0 = "z.x.r", "z.x.b", "z.acc.s"
+        r, t, b, s0, e0 = "z.x.r", "z.x.t", "z.x.b", "z.acc.s", "z.acc.e"
     top = "list_position(p, list_max(p))"
-    return f"list_transform([[{raw}]], lambda w4: list_transform([list_transform(w4, lambda v4: v4 / list_sum(w4))], lambda p: {{'r': {r}, 'b': {b}, 'a': list_transform(p, lambda v5: greatest(v5, 1e-12)), 's': CASE WHEN {s0} = 0 OR ({top} <> {s0} AND list_max(p) >= 0.45) THEN {top} ELSE {s0} END, 'p': p}})[1])[1]"
+    new = f"({s0} = 0 OR ({top} <> {s0} AND list_max(p) >= 0.45))"
+    return f"list_transform([[{raw}]], lambda w4: list_transform([list_transform(w4, lambda v4: v4 / list_sum(w4))], lambda p: {{'r': {r}, 't': {t}, 'b': {b}, 'a': list_transform(p, lambda v5: greatest(v5, 1e-12)), 's': CASE WHEN {new} THEN {top} ELSE {s0} END, 'e': CASE WHEN {new} THEN {t} ELSE {e0} END, 'p': p}})[1])[1]"
 
 
 @query(_hmm_sql())
 def hmm_filter(spark, d):
     em = sequence.emissions(hops(spark, d).select("call_id", "row_id", "t_s", "state", "confidence"))
-    return sequence.hmm_filter(em).select("row_id", "p_ivr", "p_human", "p_hold", "p_other", "state")
+    return sequence.hmm_filter(em).select("row_id", "p_ivr", "p_human", "p_hold", "p_other", "state", "confidence", "dwell_s")
 
 
 @query()
@@ -441,8 +442,10 @@ def speaker_registry(spark, d):
 def dedup_words(spark, d):
     o = table(spark, d, "semantic_obs").filter("call_id IS NOT NULL AND t_s IS NOT NULL AND text IS NOT NULL")
     words = F.transform(text.tokens(F.col("text")), lambda w, i: F.struct((F.col("t_s") + i * 0.25).alias("start_s"), w.alias("text")))
-    # every window also hears the last window's words again
-    return sequence.dedup_words(o.select("call_id", (F.col("t_s") + 3.0).alias("window_end_s"), words.alias("words")), "call_id")
+    # every window also hears the words of the window before
+    windows = ordered.before(o.select("call_id", "t_s", "obs_id", words.alias("own")), ["call_id"], ["t_s", "obs_id"], {"earlier": F.col("own")})
+    both = F.concat(F.coalesce("earlier", F.filter("own", lambda x: F.lit(False))), "own")
+    return sequence.dedup_words(windows.select("call_id", (F.col("t_s") + 3.0).alias("window_end_s"), both.alias("words")), "call_id")
 
 
 _FRAMES = """fr AS (SELECT call_id, t_s, row_id, 20 * log10(greatest(latency_ms, 0.001)) AS db FROM timeline WHERE call_id IS NOT NULL AND t_s IS NOT NULL AND latency_ms IS NOT NULL),
@@ -616,10 +619,13 @@ def top_contributions(spark, d):
 _TEMPS = ", ".join(str(round(0.5 + 0.05 * i, 2)) for i in range(71))
 
 
-@query(f"""WITH {_LIN} SELECT CAST(t AS DOUBLE) AS temperature, round(avg(-ln(exp((s - top) / t) / (exp((s0 - top) / t) + exp((s1 - top) / t) + exp((s2 - top) / t) + exp((s3 - top) / t) + 1e-12) + 1e-12)), 6) AS nll FROM (SELECT *, [s0, s1, s2, s3][obs_id % 4 + 1] AS s FROM z), (SELECT unnest([{_TEMPS}]) AS t) GROUP BY 1""")
+@query(f"""WITH {_LIN} SELECT CAST(t AS DOUBLE) AS temperature, round(avg(-ln(exp((s - top) / t) / (exp((s0 - top) / t) + exp((s1 - top) / t) + exp((s2 - top) / t) + exp((s3 - top) / t) + 1e-12) + 1e-12)), 6) AS nll FROM (SELECT z.*, [s0, s1, s2, s3][y] AS s FROM z JOIN (SELECT obs_id, list_position(['ivr', 'human', 'hold', 'other'], arg_min(g.state, g.turn_id)) AS y FROM semantic_obs o JOIN gold_turns g ON o.call_id = g.call_id AND o.t_s >= g.start_s AND o.t_s < g.end_s WHERE g.state IS NOT NULL GROUP BY 1) USING (obs_id) WHERE y > 0), (SELECT unnest([{_TEMPS}]) AS t) GROUP BY 1""")
 def temperature_grid(spark, d):
-    s = _scalars(spark, d)
-    named = s.select("obs_id", *[x.alias(f"s{k}") for k, x in enumerate(models.scores())]).withColumn("y", F.col("obs_id") % 4)
+    g = gold(spark, d).filter("state IS NOT NULL").select("call_id", "turn_id", F.col("start_s").alias("_s"), F.col("end_s").alias("_e"), F.col("state").alias("_g"))
+    o = table(spark, d, "semantic_obs").filter("call_id IS NOT NULL AND t_s IS NOT NULL").select("obs_id", "call_id", F.col("t_s").alias("_at"))
+    y = F.array_position(F.array(*map(F.lit, models.STATES)), F.col("_g")).cast("int") - 1
+    label = intervals.interval_join(o, g, ["call_id"], "_at", "_s", "_e").groupBy("obs_id").agg(F.min_by("_g", "turn_id").alias("_g")).select("obs_id", y.alias("y")).filter("y >= 0")
+    named = _scalars(spark, d).select("obs_id", *[x.alias(f"s{k}") for k, x in enumerate(models.scores())]).join(label, "obs_id")
     return models.temperature_grid(named, ["s0", "s1", "s2", "s3"], "y")
 
 
@@ -634,7 +640,10 @@ def logistic_fit(spark, d):
     return scored.groupBy("label", F.col("prediction").cast("int").alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_PROJECT = ", ".join(f"round(tanh(list_inner_product(e, {[row[j] for row in models.random_projection(64, 8, 5)]})), 6)" for j in range(8))
+
+
+@query(f"SELECT vec_id, CASE WHEN len(e) = 64 THEN [{_PROJECT}] ELSE [0.0, 0, 0, 0, 0, 0, 0, 0] END AS projected FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)")
 def random_projection(spark, d):
     m = models.random_projection(64, 8, 5)
     return table(spark, d, "embeddings").select("vec_id", F.transform(models.project(F.col("embedding"), m), lambda x: F.round(x, 6)).alias("projected"))
@@ -804,17 +813,24 @@ def acoustic_features(spark, d):
 # ---- whole calls -------------------------------------------------------------------------------------------------------
 
 
+_TRACKED: dict[tuple, tuple] = {}
+
+
 def _tracked(spark, timed: bool = False):
-    """Made-up calls of all scenarios, tracked from their sound, script and carrier log: (tracked, gold turns, gold events, calls)."""
+    """Made-up calls of all scenarios, tracked from their sound, script and carrier log: (tracked, gold turns, gold events, calls). Written once a session, for several queries read them."""
     from callweave.operators import engine
     from callweave.sources import synth
 
+    key = (spark.sparkContext.applicationId, timed)
+    if key in _TRACKED:
+        return _TRACKED[key]
     calls = cut(synth.corpus(spark, 3))
     turns = calls.select("call_id", F.posexplode("turns").alias("turn_id", "x")).select("call_id", "turn_id", "x.*")
     events = calls.select("call_id", F.explode("events").alias("x")).select("call_id", F.col("x.t_s").alias("t"), F.col("x.type").alias("kind"), F.col("x.outcome").alias("tag"))
     carrier = calls.select("call_id", F.explode("telephony").alias("x")).select("call_id", "x.t_s", "x.kind")
     tracked = engine.track_calls(calls.select("call_id", "wav"), turns.filter("text IS NOT NULL").select("call_id", "start_s", "end_s", "text"), carrier, timed=timed)
-    return tracked, turns, events, calls
+    _TRACKED[key] = tracked, turns, events, calls
+    return _TRACKED[key]
 
 
 @query()

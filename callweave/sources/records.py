@@ -33,7 +33,8 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_carrier_log(spark: SparkSession, path: str) -> DataFrame:
-    return read_jsonl(spark, path, "telephony").orderBy("call_id", "t_s")
+    """Carrier events, in order of call and time within each partition."""
+    return read_jsonl(spark, path, "telephony").sortWithinPartitions("call_id", "t_s")
 
 
 SEGMENT = "start double, end double, label string, confidence double, evidence string, human_id string"

@@ -10,7 +10,7 @@ label are placed first, the others in range-sorted blocks, each of which fills i
 task or driver ever holds all components. The steps are the same at every size.
 
 Nulls and ties: a record without any key is a component of its own. Records without labels count by number only. Equal
-needs go to the split that needs more records, then to the first split; equal components are ordered by a hash of their
+needs go to the first split; equal components are ordered by a hash of their
 key. Repeated label rows count as often as they occur. Empty input gives no rows.
 """
 
@@ -31,6 +31,8 @@ RATIOS = (0.8, 0.1, 0.1)
 LABELS = ("ivr", "human", "hold", "survey", "unknown")
 #: Components that are placed one after another, by the driver or a task.
 BLOCK = 10_000
+#: What the open part of records counts beside that of the label.
+SIZE_WEIGHT = 0.25
 
 # Endings of a recording's name that a copy or an export adds.
 COPY_ENDING = r"(?:\.(?:beeped|wav|mp3|mp4|m4a|flac|ogg|opus|aac)|\s*\(\d+\)|[\s_.-]+v\d+|[\s_.-]+(?:copy|export)(?:[\s_.-]*\d+)?)+$"
@@ -101,6 +103,7 @@ class Needs:
 
     def __init__(self, labels: np.ndarray, size: np.ndarray):
         self.labels, self.size = labels, size
+        self.all_labels, self.all_size = np.maximum(labels, 1e-9), np.maximum(size, 1e-9)
 
     @classmethod
     def of(cls, totals: np.ndarray, records: float, share: np.ndarray) -> Needs:
@@ -113,12 +116,13 @@ class Needs:
         return Needs(by_label * totals, (size / size.sum() if size.sum() > 0 else share) * records)
 
     def place(self, counts: np.ndarray, size: np.ndarray, label: int | None) -> np.ndarray:
-        """Split numbers of components in the order given: each goes where its label, else any record, is needed most, then where records are, then to the first; needs change in place."""
+        """Split numbers of components in the order given. A component goes where the largest part of what was needed of its label is open, records counting a quarter as much, among the splits that need it whole; one that is too large for all goes where most is needed. Equal needs go to the first split. Needs change in place."""
         out = np.empty(len(size), np.int64)
         for i in range(len(size)):
-            want = self.size if label is None else self.labels[:, label]
-            best = np.flatnonzero(want == want.max())
-            out[i] = s = best[np.argmax(self.size[best])]
+            need, whole, take = (self.size, self.all_size, size[i]) if label is None else (self.labels[:, label], self.all_labels[:, label], counts[i, label])
+            open_ = need / whole + SIZE_WEIGHT * self.size / self.all_size
+            fits = need >= take
+            out[i] = s = int(np.where(fits, open_, -np.inf).argmax() if fits.any() else need.argmax())
             self.labels[s] -= counts[i]
             self.size[s] -= size[i]
         return out

@@ -313,6 +313,7 @@ def _span(t: Text, i: int, j: int, kind: str, form: str) -> list[str]:
         if kind in ("phone", "identity_number"):
             d = digits_of(t, i, j)
             n, exchange = min(len(d), 14), "555" in d[3:6]  # 555 is the exchange of numbers that belong to nobody
+            out += [f"{k}{form} starts={low[i]}"] if low[i].isalpha() else []
             out += [f"{k}n={n} {exchange}", f"{k}n={n} letters={any(x.isalpha() and len(x) == 1 for x in low[i:j])}", f"{k}n={n} first={d[:1]}"]
         if kind == "email":
             out.append(f"{k}{form} first={cls[i]}{t.grade[i]}")

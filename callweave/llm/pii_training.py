@@ -498,10 +498,10 @@ class Maker:
         if spoken:
             k = self.r.random()
             return f"{n[:3]} {n[3:5]} {n[5:]}" if k < 0.12 else self.say_digits(n) if k < 0.6 else self.say_digits(self.shaped(self.pick("L00000000", "LL0000000", "L000000000000", "LLL000000", "00000000")))
-        return self.pick(n, n, n, f"{n[:3]}-{n[3:5]}-{n[5:]}", f"{n[:3]}-{n[3:5]}-{n[5:]}", f"{n[:3]} {n[3:5]} {n[5:]}", *map(self.shaped, ("MBR-00000000", "LLL000000000", "LL0000000", "L00000000", "L000-0000-0000", "L000 0000 0000", "L0000 0000 0", "L0000000", "LLL-000000")))
+        return self.pick(n, n, n, f"{n[:3]}-{n[3:5]}-{n[5:]}", f"{n[:3]}-{n[3:5]}-{n[5:]}", f"{n[:3]} {n[3:5]} {n[5:]}", *map(self.shaped, (f"{self.pick('MBR', 'MEM', 'SUB', 'PID')}-00000000", "LLL000000000", "LL0000000", "L00000000", "L000-0000-0000", "L000 0000 0000", "L0000 0000 0", "L0000000", "LLL-000000")))
 
     def other_number(self, spoken: bool) -> str:
-        shape = self.pick("000000", "0000000", "00000000", "00000000", "000000000", "0000-00-0000", "000-000-000", "000 000 0000 00", "00000-0000", "LL-00000000", "LLL-000000", "L00000000", "000000000000", "00-000000", "0000 0000")
+        shape = self.pick("000000", "0000000", "00000000", "00000000", "000000000", "0000-00-0000", "000-000-000", "000 000 0000 00", "00000-0000", "LL-00000000", "LLL-000000", "LLL-00000000", "LLL-00000000", "L00000000", "000000000000", "00-000000", "0000 0000")
         return self.say_digits(self.shaped(shape.replace("L", "") if self.chance(0.7) else shape)) if spoken else self.shaped(shape)
 
     def address(self, spoken: bool) -> str:
